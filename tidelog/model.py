@@ -47,22 +47,6 @@ SOURCE_SCHEMA = T.StructType(
 )
 
 
-def envelope_schema(columns: list[str]) -> T.StructType:
-    """Envelope whose row images are read as text: numbers keep every digit, and a value of
-    the wrong type shows up later with its column name instead of spoiling the message."""
-    row = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return T.StructType(
-        [
-            T.StructField("before", row),
-            T.StructField("after", row),
-            T.StructField("source", SOURCE_SCHEMA),
-            T.StructField("op", T.StringType()),
-            T.StructField("ts_ms", T.LongType()),
-            T.StructField("_corrupt_record", T.StringType()),
-        ]
-    )
-
-
 # The row description of the order messages used by fixtures, tests and queries.
 ORDER_TYPES = {
     "o_orderkey": "bigint",

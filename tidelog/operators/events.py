@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,25 +13,81 @@ from tidelog.model import (
     EXTRACTED,
     HEADER_PREFIX,
     OPS,
+    SOURCE_SCHEMA,
     VERSION,
-    envelope_schema,
 )
 
 
-def parse_envelope(messages: DataFrame, columns: Sequence[str], value: str = "value") -> DataFrame:
-    """Add ``before, after, source, op, ts_ms`` and ``_corrupt_record`` from the message text.
+_parse_count = itertools.count(1)
 
-    A message that is not valid JSON gives NULL in every field and its text in
-    ``_corrupt_record``; a tombstone (NULL value) gives NULL everywhere.
+# How a declared type is read from JSON before ``normalise_values`` finishes it.
+_READ_AS = {
+    "unsigned bigint": "decimal(20,0)",
+    "unsigned int": "bigint",
+    "epoch_millis": "bigint",
+    "epoch_micros": "bigint",
+    "epoch_days": "bigint",
+}
+
+
+def _envelope(row: Mapping[str, str]) -> str:
+    fields = ", ".join(f"`{c}`: {t}" for c, t in row.items())
+    return (
+        f"before struct<{fields}>, after struct<{fields}>, source {SOURCE_SCHEMA.simpleString()}, "
+        "op string, ts_ms bigint, _corrupt_record string"
+    )
+
+
+def parse_envelope(messages: DataFrame, types: Mapping[str, str], value: str = "value") -> DataFrame:
+    """Add ``before, after, source, op, ts_ms, _problems`` and ``_corrupt_record``.
+
+    Messages are read by ``from_json`` with the declared types, so decimals and unsigned
+    numbers never pass through a double. Only messages it rejects are read again as text:
+    ``_problems`` then names the columns whose text does not fit, and the other columns keep
+    their values. A message that is no JSON at all is NULL in every field with its text in
+    ``_corrupt_record``; a tombstone is NULL everywhere.
+
+    The observed counts (``envelopes-<n>``) show up in query listeners and streaming progress.
+    They also hold later filters above the parse: pushed below it, a filter on ``op`` would
+    parse every message a second time.
     """
-    schema = envelope_schema(list(columns))
-    parsed = messages.withColumn(
-        "_env",
-        F.from_json(value, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}),
+    read = {c: _READ_AS.get(t, t) for c, t in types.items()}
+    fast, text = F.col("_fast"), F.col("_text")
+    rejected = fast["_corrupt_record"].isNotNull()
+    readable = rejected & text["_corrupt_record"].isNull()
+
+    def image(side: str) -> Column:
+        fields = [F.coalesce(fast[side][c], typed(text[side][c], t)).alias(c) for c, t in read.items()]
+        second = F.when(readable & text[side].isNotNull(), F.struct(*fields))
+        return F.when(rejected, second).otherwise(fast[side]).alias(side)
+
+    def misfits(side: str) -> Column:
+        return F.array(
+            *[F.when(text[side][c].isNotNull() & typed(text[side][c], t).isNull(), F.lit(c)) for c, t in read.items()]
+        )
+
+    problems = F.array_compact(F.when(text["op"] == "d", misfits("before")).otherwise(misfits("after")))
+    plain = [
+        F.when(rejected, F.when(readable, text[c])).otherwise(fast[c]).alias(c) for c in ("source", "op", "ts_ms")
+    ]
+    mode = {"mode": "PERMISSIVE"}
+    return (
+        messages.withColumn("_fast", F.from_json(value, _envelope(read), mode))
+        .withColumn("_text", F.when(rejected, F.from_json(value, _envelope(dict.fromkeys(read, "string")), mode)))
+        .select(
+            *messages.columns,
+            image("before"),
+            image("after"),
+            *plain,
+            F.when(readable, problems).otherwise(F.array().cast("array<string>")).alias("_problems"),
+            F.when(rejected & ~readable, F.col(value)).alias("_corrupt_record"),
+        )
+        .observe(
+            f"envelopes-{next(_parse_count)}",
+            F.count(F.lit(1)).alias("messages"),
+            F.count("_corrupt_record").alias("broken"),
+        )
     )
-    broken = F.col("_env._corrupt_record")
-    fields = {f: F.when(broken.isNull(), F.col(f"_env.{f}")) for f in ("before", "after", "source", "op", "ts_ms")}
-    return parsed.withColumns({**fields, "_corrupt_record": broken}).drop("_env")
 
 
 def unwrap(parsed: DataFrame) -> DataFrame:
@@ -80,17 +137,17 @@ def typed(col: Column, type_name: str) -> Column:
 
 
 def normalise_values(rows: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """Typed columns from text: decimals exactly, unsigned without sign flip, time precision kept.
+    """Typed columns from text or raw values: decimals exactly, unsigned without sign flip, time precision kept.
 
-    Adds ``_problems``, the names of columns whose text does not fit the type.
+    ``_problems`` names the columns whose value does not fit the type.
     """
     present = {c: t for c, t in types.items() if c in rows.columns}
     values = {c: typed(F.col(c), t) for c, t in present.items()}
     problems = F.array_compact(
         F.array(*[F.when(F.col(c).isNotNull() & v.isNull(), F.lit(c)) for c, v in values.items()])
     )
-    flagged = rows.withColumn("_problems", problems)
-    return flagged.withColumns(values)
+    known = F.col("_problems") if "_problems" in rows.columns else F.array().cast("array<string>")
+    return rows.withColumns({**values, "_problems": F.array_distinct(F.concat(known, problems))})
 
 
 def version_parts(kind: str = "position") -> list[Column]:

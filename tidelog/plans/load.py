@@ -2,5 +2,6 @@
 
 from tidelog.plans import (  # noqa: F401
     queries_events,
+    queries_sources,
     queries_state,
 )

@@ -11,15 +11,13 @@ from tidelog.model import ORDER_TYPES
 from tidelog.operators import events as ev
 from tidelog.registry import query
 
-COLUMNS = list(ORDER_TYPES)
-
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "envelopes").drop("part_kind")
 
 
 def typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = ev.parse_envelope(ev.handle_tombstones(messages(spark, sf_dir)), COLUMNS)
+    parsed = ev.parse_envelope(ev.handle_tombstones(messages(spark, sf_dir)), ORDER_TYPES)
     return ev.normalise_values(ev.unwrap(parsed), ORDER_TYPES)
 
 
@@ -32,7 +30,7 @@ def _text(name: str) -> str:
     f"""
     SELECT l.arrival AS off, 'event' AS kind, l.op,
            CASE WHEN l.op IN ('u', 'd') THEN {_text('l.o_orderkey')} END AS before_key,
-           CASE WHEN l.op <> 'd' THEN {_text('l.o_totalprice')} END AS after_price,
+           CASE WHEN l.op <> 'd' THEN CAST(l.o_totalprice AS DOUBLE) END AS after_price,
            'binlog.' || {_text('999998 + l._version')} AS log_file,
            1700000000500 + l.arrival AS ts_ms, 0 AS is_corrupt
     FROM order_log l WHERE l.arrival % 97 <> 5
@@ -42,13 +40,13 @@ def _text(name: str) -> str:
     SELECT arrival, 'tombstone', NULL, NULL, NULL, NULL, NULL, 0 FROM order_log WHERE op = 'd'""",
 )
 def parse_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = ev.parse_envelope(messages(spark, sf_dir), COLUMNS)
+    parsed = ev.parse_envelope(messages(spark, sf_dir), ORDER_TYPES)
     return parsed.select(
         "off",
         F.when(F.col("value").isNull(), "tombstone").otherwise("event").alias("kind"),
         "op",
-        F.col("before.o_orderkey").alias("before_key"),
-        F.col("after.o_totalprice").alias("after_price"),
+        F.col("before.o_orderkey").cast("string").alias("before_key"),
+        F.col("after.o_totalprice").cast("double").alias("after_price"),
         F.col("source.file").alias("log_file"),
         "ts_ms",
         F.col("_corrupt_record").isNotNull().cast("int").alias("is_corrupt"),
@@ -59,14 +57,16 @@ def parse_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     "b02_unwrap",
     f"""
     SELECT arrival AS off, op, {_text('o_orderkey')} AS o_orderkey,
-           CASE WHEN arrival % 89 = 7 THEN 'abc' ELSE {_text('o_custkey')} END AS o_custkey,
-           {_text('o_totalprice')} AS o_totalprice, {_text('o_orderdate')} AS o_orderdate
+           CASE WHEN arrival % 89 <> 7 THEN {_text('o_custkey')} END AS o_custkey,
+           CAST(o_totalprice AS DOUBLE) AS o_totalprice, {_text('o_orderdate')} AS o_orderdate
     FROM order_log WHERE arrival % 97 <> 5""",
 )
 def unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = ev.parse_envelope(ev.handle_tombstones(messages(spark, sf_dir)), COLUMNS)
+    parsed = ev.parse_envelope(ev.handle_tombstones(messages(spark, sf_dir)), ORDER_TYPES)
     rows = ev.unwrap(parsed.where(F.col("_corrupt_record").isNull()))
-    return rows.select("off", "op", "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    price = F.col("o_totalprice").cast("double").alias("o_totalprice")
+    texts = [F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_custkey", "o_orderdate")]
+    return rows.select("off", "op", price, *texts)
 
 
 @query(
@@ -78,7 +78,7 @@ def unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM order_log WHERE arrival % 97 <> 5 GROUP BY op""",
 )
 def rewrite_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = ev.parse_envelope(ev.handle_tombstones(messages(spark, sf_dir)), COLUMNS)
+    parsed = ev.parse_envelope(ev.handle_tombstones(messages(spark, sf_dir)), ORDER_TYPES)
     rows = ev.rewrite_deletes(ev.unwrap(parsed.where(F.col("_corrupt_record").isNull())))
     return rows.groupBy("__op", "__deleted").agg(
         F.count("*").alias("n"),
