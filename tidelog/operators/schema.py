@@ -102,11 +102,7 @@ def map_type(catalog: DataFrame) -> DataFrame:
 
 
 def _named(fragments: Sequence[str]) -> Column:
-    name = F.lower("column_name")
-    found = F.lit(False)
-    for f in fragments:
-        found = found | name.contains(f)
-    return found
+    return F.lower("column_name").rlike("|".join(fragments))
 
 
 def refine_types(catalog: DataFrame, mode: str = "safe") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from tidelog.plans import (  # noqa: F401
     queries_events,
+    queries_quality,
     queries_schema,
     queries_sources,
     queries_state,
