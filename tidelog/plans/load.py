@@ -1,6 +1,7 @@
 """Importing this module registers every query."""
 
 from tidelog.plans import (  # noqa: F401
+    queries_dead_letters,
     queries_events,
     queries_quality,
     queries_schema,
