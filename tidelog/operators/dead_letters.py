@@ -88,8 +88,10 @@ def classify_dlq(parsed: DataFrame) -> DataFrame:
                 score = score + F.when(F.col("stage") == stage, extra).otherwise(0)
         rank = F.when(hit, i).when(words > 0, 10 + keyword_rank[category]).otherwise(20)
         candidates.append(F.struct(score.alias("score"), (-rank).alias("order"), F.lit(category).alias("category")))
-    best = F.array_max(F.array(*candidates))
-    scored = prepared.withColumns(found).withColumn("_best", best)
+    # Exploding the one winner keeps filters on the result above the scoring: pushed below, a
+    # filter on ``category`` would repeat every rule in its condition.
+    best = F.explode(F.array(F.array_max(F.array(*candidates)))).alias("_best")
+    scored = prepared.withColumns(found).select(*parsed.columns, best)
     hit = F.col("_best.score") > 0
     return scored.withColumns(
         {
@@ -97,7 +99,7 @@ def classify_dlq(parsed: DataFrame) -> DataFrame:
             "score": F.col("_best.score"),
             "confidence": F.least(F.lit(100), F.col("_best.score") * 5),
         }
-    ).drop("_text", "_lower", "_best", *found)
+    ).drop("_best")
 
 
 def analyse(df: DataFrame) -> DataFrame:
