@@ -25,11 +25,35 @@ def row_md5(cols: Sequence[Column | str]) -> Column:
 
 
 def row_hash(cols: Sequence[Column | str]) -> Column:
-    """The first 32 bits of the row's md5 as a bigint: portable, and sums without overflow
-    up to 2^31 rows per group (sums are taken as decimal beyond that)."""
+    """The first 32 bits of the row's md5 as a bigint: any engine can compute it."""
     return F.conv(F.substring(row_md5(cols), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_total(h: Column) -> Column:
+    """Exact sum of 32-bit hashes as a decimal, from two bigint sums that cannot overflow
+    (a decimal sum would allocate an object per row)."""
+    high, low = F.sum(F.shiftright(h, 16)), F.sum(h.bitwiseAND(F.lit(65535).cast("bigint")))
+    return high.cast("decimal(20,0)") * F.lit(65536).cast("decimal(6,0)") + low.cast("decimal(20,0)")
+
+
+def row_hash64(cols: Sequence[str]) -> Column:
+    """64-bit row hash for comparisons inside Spark. ``xxhash64`` skips NULLs, so a mask of the
+    NULL positions is hashed along."""
+    nulls = [F.when(F.col(c).isNull(), F.lit(1 << (i % 60))).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(cols)]
+    mask = nulls[0]
+    for n in nulls[1:]:
+        mask = mask.bitwiseXOR(n)
+    return F.xxhash64(*cols, mask)
+
+
+def multiset_sum(h: Column) -> Column:
+    """Count and sum of 64-bit hashes of a group, as a comparable struct. The hash is summed in
+    four 16-bit pieces: plain bigint sums, no overflow below 2^47 rows."""
+    piece = F.lit(65535).cast("bigint")
+    pieces = [F.sum(F.shiftrightunsigned(h, 16 * i).bitwiseAND(piece)).alias(f"s{i}") for i in range(4)]
+    return F.struct(F.count(F.lit(1)).alias("n"), *pieces)
+
+
 def epoch(col: Column | str) -> Column:
     return F.unix_timestamp(F.col(col) if isinstance(col, str) else col)
 

@@ -62,6 +62,19 @@ def dlq_fields(parsed: DataFrame) -> DataFrame:
     return parsed.withColumn("problematic_fields", F.regexp_extract_all("exception_message", pattern, F.lit(1)))
 
 
+def _any_pattern(lower: Column, patterns: Sequence[str]) -> Column:
+    """Does any pattern occur in the lower-cased text: plain words by search, the others by
+    regular expression, and that only when their first word is there."""
+    words = [p for p in patterns if ".*" not in p]
+    tests = [lower.contains(w.lower()) for w in words]
+    for p in (p for p in patterns if ".*" in p):
+        tests.append(lower.contains(p.split(".*")[0].strip().lower()) & lower.rlike(p.lower()))
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
 def classify_dlq(parsed: DataFrame) -> DataFrame:
     """Add ``category, score, confidence`` from patterns, keywords and stage.
 
@@ -72,10 +85,10 @@ def classify_dlq(parsed: DataFrame) -> DataFrame:
     """
     text = F.concat_ws(" ", "exception_class", "exception_message", "stage")
     keyword_rank = {c: i for i, c in enumerate(rules.KEYWORD_SCORES)}
-    prepared = parsed.withColumns({"_text": text, "_lower": F.lower(text)})
+    prepared = parsed.withColumn("_lower", F.lower(text))
     found: dict[str, Column] = {}
     for category, patterns in rules.EXCEPTION_PATTERNS.items():
-        found[f"_hit_{category}"] = F.col("_text").rlike("(?i)(?:" + "|".join(patterns) + ")")
+        found[f"_hit_{category}"] = _any_pattern(F.col("_lower"), patterns)
         weight, words = rules.KEYWORD_SCORES[category]
         counts = [F.when(F.col("_lower").contains(w.lower()), weight).otherwise(0) for w in words]
         found[f"_words_{category}"] = sum(counts[1:], counts[0])
@@ -153,42 +166,41 @@ def dlq_fields_top(errors: DataFrame, top: int = 20) -> DataFrame:
 def root_causes(errors: DataFrame, samples: int = 3) -> DataFrame:
     """One row per category: errors, share, tables, fields, first messages and impact.
 
-    Names are made distinct before they are listed, so a list is as long as the schema, not
-    as the dead letters; the first messages are ranked with a limit pushed below the shuffle.
+    Two passes: one counts per category, table and field, so that lists of names are as long
+    as the schema, not as the dead letters; one ranks the first messages, with the limit
+    applied before the shuffle as well. Persist ``errors`` to classify only once.
     """
-    rows = known(errors)
-    per_table = rows.groupBy("category", "table_name").agg(
-        F.count("*").alias("n"), F.max(F.col("exception_message").contains("Date")).alias("has_date")
+    per = (
+        errors.select(
+            "category", "table_name", F.posexplode_outer("problematic_fields").alias("_pos", "field"), "exception_message"
+        )
+        .groupBy("category", "table_name", "field")
+        .agg(
+            F.count_if(F.coalesce("_pos", F.lit(0)) == 0).alias("n"),
+            F.max(F.col("exception_message").contains("Date")).alias("has_date"),
+        )
     )
-    causes = per_table.groupBy("category").agg(
+    # ``per`` has one row per category, table and field: schema-sized from here on
+    causes = known(per).groupBy("category").agg(
         F.sum("n").alias("error_count"),
-        F.array_sort(F.collect_list("table_name")).alias("affected_tables"),
+        F.array_sort(F.collect_set("table_name")).alias("affected_tables"),
+        F.array_sort(F.collect_set("field")).alias("affected_fields"),
         F.max("has_date").alias("has_date"),
     )
-    fields = (
-        rows.select("category", F.explode("problematic_fields").alias("field")).distinct()
-        .groupBy("category").agg(F.array_sort(F.collect_list("field")).alias("affected_fields"))
-    )
     by = Window.partitionBy("category").orderBy(*ORDER)
     first = (
-        rows.select("category", F.substring("exception_message", 1, 200).alias("message"), *ORDER)
+        known(errors).select("category", F.substring("exception_message", 1, 200).alias("message"), *ORDER)
         .withColumn("position", F.row_number().over(by))
         .where(F.col("position") <= samples)
         .groupBy("category")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "message"))), lambda s: s["message"])
              .alias("sample_messages"))
     )
-    none = F.array().cast("array<string>")
-    return (
-        causes.join(fields, "category", "left")
-        .join(first, "category", "left")
-        .withColumns(
-            {
-                "affected_fields": F.coalesce("affected_fields", none),
-                "percentage": percent(F.col("error_count"), total(errors, F.count("*"))),
-                "impact_score": F.col("error_count") * F.size("affected_tables"),
-            }
-        )
+    return causes.join(first, "category", "left").withColumns(
+        {
+            "percentage": percent(F.col("error_count"), total(per, F.sum("n"))),
+            "impact_score": F.col("error_count") * F.size("affected_tables"),
+        }
     )
 
 

@@ -11,7 +11,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidelog.functions.columns import band, epoch, epoch_of, percent, row_hash, size_text, total
+from tidelog.functions.columns import (
+    band,
+    epoch,
+    epoch_of,
+    hash_total,
+    multiset_sum,
+    percent,
+    row_hash,
+    row_hash64,
+    size_text,
+    total,
+)
 
 SOURCE, TARGET = "source_rows", "target_rows"
 
@@ -190,9 +201,16 @@ def fingerprint(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), id_c
     NULLs are encoded, and the sum is a decimal that cannot overflow. ``by`` gives one
     fingerprint per group.
     """
-    sums = F.sum(row_hash(cols).cast("decimal(20,0)")).alias("hash_sum")
+    hashed = df.select(*by, *([id_col] if id_col else []), row_hash(cols).alias("_hash"))
+    sums = hash_total(F.col("_hash")).alias("hash_sum")
     aggs = [F.count("*").alias("n_rows"), *([F.max(id_col).alias("max_id")] if id_col else []), sums]
-    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    return hashed.groupBy(*by).agg(*aggs) if by else hashed.agg(*aggs)
+
+
+def _comparable(source: DataFrame, target: DataFrame, cols: Sequence[str]) -> Column:
+    """Hash of equal rows on both sides: the fast one when the column types agree, else by text."""
+    types = [{c: t for c, t in df.dtypes if c in cols} for df in (source, target)]
+    return row_hash64(list(cols)) if types[0] == types[1] else row_hash(cols)
 
 
 def checksum_diff(
@@ -205,14 +223,14 @@ def checksum_diff(
     count and hash sum, never as pairs.
     """
     keys = list(keys)
-    bucket = F.pmod(row_hash(keys), F.lit(buckets)).cast("int").alias("_bucket")
-    value = row_hash(cols).cast("decimal(20,0)").alias("_hash")
+    bucket = F.pmod(_comparable(source, target, keys), F.lit(buckets)).cast("int").alias("_bucket")
+    value = _comparable(source, target, cols).alias("_hash")
 
     def side(df: DataFrame) -> DataFrame:
         return df.select(*keys, bucket, value)
 
     def by_bucket(df: DataFrame, name: str) -> DataFrame:
-        return side(df).groupBy("_bucket").agg(F.struct(F.count("*"), F.sum("_hash")).alias(name))
+        return side(df).groupBy("_bucket").agg(multiset_sum(F.col("_hash")).alias(name))
 
     compared = by_bucket(source, "_s").join(by_bucket(target, "_t"), "_bucket", "full_outer")
     differing = compared.where(~F.col("_s").eqNullSafe(F.col("_t"))).select("_bucket")
@@ -220,7 +238,7 @@ def checksum_diff(
     def by_key(df: DataFrame, name: str) -> DataFrame:
         # at most ``buckets`` rows on the broadcast side
         rows = side(df).join(F.broadcast(differing), "_bucket", "left_semi")
-        return rows.groupBy(*keys).agg(F.struct(F.count("*"), F.sum("_hash")).alias(name))
+        return rows.groupBy(*keys).agg(multiset_sum(F.col("_hash")).alias(name))
 
     joined = by_key(source, "_s").join(by_key(target, "_t"), keys, "full_outer")
     status = F.when(F.col("_t").isNull(), "missing").when(F.col("_s").isNull(), "extra").otherwise("changed")
@@ -242,11 +260,11 @@ def sample_match(
     # the limit bounds the broadcast side
     chosen = F.broadcast(sample_keys(source, keys, n, seed))
 
+    value = _comparable(source, target, cols).alias("_hash")
+
     def hashed(df: DataFrame, name: str) -> DataFrame:
-        rows = df.join(chosen, keys, "left_semi")
-        return rows.groupBy(*keys).agg(
-            F.struct(F.count("*"), F.sum(row_hash(cols).cast("decimal(20,0)"))).alias(name)
-        )
+        rows = df.join(chosen, keys, "left_semi").select(*keys, value)
+        return rows.groupBy(*keys).agg(multiset_sum(F.col("_hash")).alias(name))
 
     joined = hashed(source, "_s").join(hashed(target, "_t"), keys, "left")
     return joined.select(
@@ -263,8 +281,13 @@ def reconcile(
 
     A table with equal counts and another fingerprint has status ``values_differ`` and alerts.
     """
-    s = fingerprint(source, cols, by).withColumnsRenamed({"n_rows": SOURCE, "hash_sum": "_sh"})
-    t = fingerprint(target, cols, by).withColumnsRenamed({"n_rows": TARGET, "hash_sum": "_th"})
+    value = _comparable(source, target, cols).alias("_hash")
+
+    def side(df: DataFrame, rows: str, name: str) -> DataFrame:
+        hashed = df.select(*by, value)
+        return hashed.groupBy(*by).agg(F.count("*").alias(rows), multiset_sum(F.col("_hash")).alias(name))
+
+    s, t = side(source, SOURCE, "_sh"), side(target, TARGET, "_th")
     zero = F.lit(0).cast("bigint")
     joined = s.join(t, list(by), "full_outer").withColumns(
         {SOURCE: F.coalesce(SOURCE, zero), TARGET: F.coalesce(TARGET, zero)}
