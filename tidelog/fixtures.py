@@ -158,7 +158,7 @@ def sign_rows(d: Dialect) -> str:
 
 _TABLE_NAME = "concat(lower(l_returnflag), '_', lower(l_linestatus), '_', CAST(year(l_shipdate) AS STRING))"
 _TABLE_RULE = (
-    "((year(l_shipdate) - 1990) * 5 + ascii(l_returnflag) + 2 * ascii(l_linestatus)) % 10"
+    "((year(l_shipdate) - 1990) * 3 + ascii(l_returnflag) + 2 * ascii(l_linestatus)) % 10"
 )
 
 

@@ -19,7 +19,7 @@ from tidelog.operators.events import align, typed
 
 def read_ddl(spark: SparkSession, path: str) -> DataFrame:
     """One row per definition file: ``file_name, text``."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     return raw.select(name.alias("file_name"), F.col("value").alias("text"))
 

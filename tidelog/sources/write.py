@@ -134,15 +134,19 @@ def sync(
     raise ValueError(f"unknown sync mode: {mode}")
 
 
+# How CSV files say NULL, so that it stays apart from empty text.
+CSV_NULL = "\\N"
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV files with a header; quotes and line breaks inside values survive a round trip."""
-    df.write.mode("error").option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+    """CSV files with a header; quotes, line breaks, empty text and NULL survive a round trip."""
+    df.write.mode("error").option("header", True).option("escape", '"').option("nullValue", CSV_NULL).csv(path)
 
 
 def import_csv(spark: SparkSession, path: str, schema) -> DataFrame:
     return (
         spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True)
-        .option("enforceSchema", False).csv(path)
+        .option("nullValue", CSV_NULL).option("enforceSchema", False).csv(path)
     )
 
 
