@@ -11,7 +11,7 @@ from tidelog.functions.columns import instant
 from tidelog.functions.skew import salted_join
 from tidelog.operators.state import agg_merge, agg_state, collapse_sum, summing_merge
 from tidelog.session import staged
-from tidelog.sources.write import _drop_partitions, write_table
+from tidelog.sources.write import drop_partitions, write_table
 
 
 def day_of(ts: str | Column) -> Column:
@@ -110,7 +110,7 @@ def refresh_rollup(path: str, before: DataFrame, after: DataFrame, ts: str, amou
     stage = staged(fresh.withColumn(_MONTH, F.date_format("day", "yyyyMM").cast("int")), "rollup", [_MONTH])
     write_table(stage, path, [_MONTH], ["day"], dynamic=True)
     left = {r[0] for r in stage.select(_MONTH).distinct().collect()}
-    _drop_partitions(spark, path, _MONTH, [m for m in touched if m not in left])
+    drop_partitions(spark, path, _MONTH, [m for m in touched if m not in left])
 
 
 def read_rollup(rollup: DataFrame, days: int, as_of: str, measures: Sequence[str]) -> DataFrame:
@@ -273,24 +273,24 @@ def funnel(events: DataFrame, user: str, ts: str, step_col: str, steps: Sequence
     """Users that reach each step in order.
 
     A user's first event of step one starts the funnel; each later step is the first event of
-    that type after the step before, at most ``within`` after the start. Times are kept as one
-    row per user; events meet them in a salted join and are reduced to a minimum per user, so
-    a user with very many events is never gathered in one task.
+    that type after the step before, at most ``within`` after the start. Between steps only one
+    row per user still in the funnel is kept; events meet it in a salted join and are reduced
+    to a minimum per user, so a user with very many events is never gathered in one task.
     """
-    reached = events.where(F.col(step_col) == steps[0]).groupBy(user).agg(F.min(ts).alias("t1"))
-    for i, step in enumerate(steps[1:], start=2):
-        rows = events.where(F.col(step_col) == step).select(user, F.col(ts).alias("_ts"))
-        known = reached.select(user, F.col("t1").alias("_start"), F.col(f"t{i - 1}").alias("_prev")).where("_prev IS NOT NULL")
-        met = salted_join(rows, known, [user]).where(F.col("_ts") > F.col("_prev"))
-        if within:
-            met = met.where(F.col("_ts") <= F.col("_start") + F.expr(f"INTERVAL {within}"))
-        reached = reached.join(met.groupBy(user).agg(F.min("_ts").alias(f"t{i}")), user, "left")
-    counts = reached.agg(*[F.count(f"t{i}").alias(f"n{i}") for i in range(1, len(steps) + 1)])
-    rows = F.array(
-        *[F.struct(F.lit(i).alias("position"), F.lit(s).alias("step"), F.col(f"n{i}").alias("users"))
-          for i, s in enumerate(steps, start=1)]
-    )
-    return counts.select(F.inline(rows))
+    def of_type(step: str) -> DataFrame:
+        return events.where(F.col(step_col) == step).select(user, F.col(ts).alias("_ts"))
+
+    there = of_type(steps[0]).groupBy(user).agg(F.min("_ts").alias("_start"), F.min("_ts").alias("_prev"))
+    out = None
+    for position, step in enumerate(steps, start=1):
+        if position > 1:
+            met = salted_join(of_type(step), there, [user]).where(F.col("_ts") > F.col("_prev"))
+            if within:
+                met = met.where(F.col("_ts") <= F.col("_start") + F.expr(f"INTERVAL {within}"))
+            there = met.groupBy(user).agg(F.min("_start").alias("_start"), F.min("_ts").alias("_prev"))
+        count = there.agg(F.lit(position).alias("position"), F.lit(step).alias("step"), F.count("*").alias("users"))
+        out = count if out is None else out.unionByName(count)
+    return out
 
 
 def first_purchase(orders: DataFrame, customer: str, ts: str, order_key: str) -> DataFrame:
@@ -337,7 +337,7 @@ def expire(df: DataFrame, ts: str, days: int, as_of: str) -> DataFrame:
 
 def drop_months(spark, path: str, months: Sequence[int], partition: str = _MONTH) -> None:
     """Remove whole month folders of a partitioned table."""
-    _drop_partitions(spark, path, partition, list(months))
+    drop_partitions(spark, path, partition, list(months))
 
 
 def tier(df: DataFrame, ts: str, as_of: str, hot: int = 30, warm: int = 90, dataset: str | None = None,

@@ -56,7 +56,7 @@ def offset_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM (SELECT *, high_water * 500 // 1000 AS eta_seconds FROM offsets) o""",
 )
 def eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole topic at one record per two seconds' thousandth (a rate of 1000 over 500-fold lag)."""
+    """Backlogs of 500 times the topic size, drained at 1000 records per second."""
     df = load(spark, sf_dir, "offsets").withColumn("backlog", F.col("high_water") * 500)
     return mt.eta(df, "backlog", 1000).select("topic", "part", "high_water", "eta_seconds", "eta_text")
 

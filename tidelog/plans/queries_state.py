@@ -136,7 +136,7 @@ def versioned_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM lineitem GROUP BY l_returnflag, year(l_shipdate)""",
 )
 def summing_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partial sums per supplier nation-sized batch (supplier key), merged to the totals."""
+    """Partial sums per supplier, merged to the totals."""
     items = load(spark, sf_dir, "lineitem")
     keys = [F.col("l_returnflag").alias("flag"), F.year("l_shipdate").cast("bigint").alias("ship_year")]
     parts = items.groupBy(*keys, F.col("l_suppkey")).agg(

@@ -1,8 +1,8 @@
 """Sinks: versioned appends, upserts, compaction, copies and exports.
 
-Writers cluster rows by partition with a ``rebalance`` hint: AQE then merges small partitions
-into full files and splits a hot one over several tasks, where ``repartition`` by the partition
-columns would give a hot month to one task.
+Partitioned writes cluster rows with a ``rebalance`` hint: AQE then merges small partitions into
+full files and splits a hot one over several tasks, where ``repartition`` by the partition columns
+would give a hot month to one task. Unpartitioned writes are not shuffled.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def write_table(
     dynamic: bool = False,
 ) -> None:
     """Write parquet, clustered by partition and sorted in files (row-group min/max pruning)."""
-    out = df.hint("rebalance", *partition_by) if partition_by else df.hint("rebalance")
+    out = df.hint("rebalance", *partition_by) if partition_by else df
     order = [*partition_by, *sort_by]
     if order:
         out = out.sortWithinPartitions(*order)
@@ -60,7 +60,8 @@ def ctas(df: DataFrame, path: str, sort_by: Sequence[str] = (), partition_by: Se
     return df.sparkSession.read.parquet(path)
 
 
-def _drop_partitions(spark: SparkSession, path: str, partition: str, values: Sequence) -> None:
+def drop_partitions(spark: SparkSession, path: str, partition: str, values: Sequence) -> None:
+    """Remove partition folders; only metadata operations, no data is read."""
     jvm = spark.sparkContext._jvm
     for v in values:
         name = "__HIVE_DEFAULT_PARTITION__" if v is None else v
@@ -89,7 +90,7 @@ def upsert(path: str, batch: DataFrame, keys: Sequence[str], version: Sequence[s
     merged = staged(merge_upsert(current, last, keys, version), "upsert-merged", [partition])
     write_table(merged.select(*table.columns), path, [partition], dynamic=True)
     left = {r[0] for r in merged.select(partition).distinct().collect()}
-    _drop_partitions(spark, path, partition, [v for v in touched if v not in left])
+    drop_partitions(spark, path, partition, [v for v in touched if v not in left])
 
 
 def compact(
