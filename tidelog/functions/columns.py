@@ -72,9 +72,16 @@ def floor_div(a: Column, b: Column | int) -> Column:
 
 
 def percent(part: Column, whole: Column, digits: int | None = None) -> Column:
-    """``part`` in percent of ``whole``; NULL when ``whole`` is 0."""
-    value = F.try_divide(part.cast("double"), whole.cast("double")) * F.lit(100.0)
-    return value if digits is None else F.round(value, digits)
+    """``part`` in percent of ``whole``; NULL when ``whole`` is 0.
+
+    With ``digits`` both are counts, and the result is rounded half up in integers, so that
+    19.435 never depends on how a double happens to store it.
+    """
+    if digits is None:
+        return F.try_divide(part.cast("double"), whole.cast("double")) * F.lit(100.0)
+    p, w = part.cast("decimal(20,0)"), F.nullif(whole.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    scaled = F.call_function("div", p * F.lit(2 * 10 ** (digits + 2)) + w, w * F.lit(2))
+    return scaled.cast("double") / F.lit(float(10**digits))
 
 
 def total(df: DataFrame, agg: Column) -> Column:

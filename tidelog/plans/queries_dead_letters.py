@@ -13,7 +13,7 @@ from tidelog.operators import dlq_rules as rules
 from tidelog.operators import events as ev
 from tidelog.plans.queries_events import typed_rows
 from tidelog.plans.queries_sources import change_files, written
-from tidelog.registry import query
+from tidelog.registry import percent_sql, query
 from tidelog.session import work_dir
 from tidelog.streaming import jobs
 
@@ -336,7 +336,7 @@ def extrapolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f19_share",
-    f"""SELECT table_name, count(*) AS n, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM dead_letters) * 100, 2) AS share
+    f"""SELECT table_name, count(*) AS n, {percent_sql("count(*)", "(SELECT count(*) FROM dead_letters)", 2)} AS share
         FROM ({_PARSED}) p GROUP BY table_name ORDER BY n DESC, table_name LIMIT 50""",
 )
 def share(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,7 +347,7 @@ def share(spark: SparkSession, sf_dir: str) -> DataFrame:
     "f20_bands",
     """SELECT dlq_rows, source_rows, CASE WHEN dlq_rows = 0 THEN 'none' WHEN dlq_rows < 1000 THEN 'few'
           WHEN dlq_rows < 100000 THEN 'moderate' ELSE 'high' END AS level,
-          round(CAST(dlq_rows AS DOUBLE) / source_rows * 100, 2) AS rate
+          """ + percent_sql("dlq_rows", "source_rows", 2) + """ AS rate
        FROM (SELECT (SELECT count(*) FROM dead_letters) AS dlq_rows, (SELECT count(*) FROM lineitem) AS source_rows) x""",
 )
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.fixtures import BASE_TABLES, load
 from tidelog.operators import quality as ql
-from tidelog.registry import query
+from tidelog.registry import percent_sql, query
 
 COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 KEYS = ["table_name", "l_orderkey", "l_linenumber"]
@@ -74,7 +74,7 @@ def count_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ql.count_tolerance(counts(spark, sf_dir)).drop("diff_exact")
 
 
-_PCT1 = "round(CAST(target_rows AS DOUBLE) / source_rows * 100, 1)"
+_PCT1 = percent_sql("target_rows", "source_rows", 1)
 
 
 @query(
@@ -90,9 +90,10 @@ def sync_category4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "e05_success_rate",
-    """SELECT tables, success_rate, CASE WHEN success_rate >= 90 THEN 'good' WHEN success_rate >= 70 THEN 'fair' ELSE 'poor' END AS rating
-       FROM (SELECT count(*) AS tables, round(CAST(count(CASE WHEN target_rows > 0 AND target_rows >= source_rows THEN 1 END) AS DOUBLE)
-                    / count(*) * 100, 1) AS success_rate FROM side_counts) r""",
+    f"""SELECT tables, success_rate, CASE WHEN success_rate >= 90 THEN 'good' WHEN success_rate >= 70 THEN 'fair' ELSE 'poor' END AS rating
+       FROM (SELECT count(*) AS tables,
+               {percent_sql("count(CASE WHEN target_rows > 0 AND target_rows >= source_rows THEN 1 END)", "count(*)", 1)} AS success_rate
+             FROM side_counts) r""",
 )
 def success_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ql.success_rate(ql.sync_category4(counts(spark, sf_dir)))
@@ -134,9 +135,9 @@ def category_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("category", "table_name", "source_rows", "position")
 
 
-_TOTALS = """
-    SELECT source_rows, target_rows, missing_rows, round(CAST(target_rows AS DOUBLE) / source_rows * 100, 2) AS sync_percent,
-           round(CAST(missing_rows AS DOUBLE) / source_rows * 100, 4) AS missing_percent
+_TOTALS = f"""
+    SELECT source_rows, target_rows, missing_rows, {percent_sql("target_rows", "source_rows", 2)} AS sync_percent,
+           {percent_sql("missing_rows", "source_rows", 4)} AS missing_percent
     FROM (SELECT CAST(sum(source_rows) AS BIGINT) AS source_rows, CAST(sum(coalesce(target_rows, 0)) AS BIGINT) AS target_rows,
             CAST(sum(greatest(source_rows - coalesce(target_rows, 0), 0)) AS BIGINT) AS missing_rows
           FROM side_counts WHERE source_rows > 0) s"""
@@ -149,8 +150,8 @@ def sync_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BREAKDOWN = f"""
     SELECT t.*, d.n AS dlq_rows, greatest(missing_rows - d.n, 0) AS in_transit,
-           round(CAST(d.n AS DOUBLE) / source_rows * 100, 4) AS dlq_percent,
-           round(CAST(greatest(missing_rows - d.n, 0) AS DOUBLE) / source_rows * 100, 4) AS transit_percent
+           {percent_sql("d.n", "source_rows", 4)} AS dlq_percent,
+           {percent_sql("greatest(missing_rows - d.n, 0)", "source_rows", 4)} AS transit_percent
     FROM ({_TOTALS}) t, (SELECT count(*) AS n FROM dead_letters WHERE h_class = 'SQLException') d"""
 
 

@@ -27,5 +27,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def percent_sql(part: str, whole: str, digits: int) -> str:
+    """Percentage of two counts rounded half up, for the reference SQL."""
+    return f"(({part}) * {2 * 10 ** (digits + 2)} + ({whole})) // (2 * ({whole})) / {10 ** digits}::DOUBLE"
+
+
 def load_all() -> None:
     import tidelog.plans.load  # noqa: F401
