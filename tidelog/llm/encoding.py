@@ -52,3 +52,24 @@ class PieceCache:
             slot = (new & self.mask).astype(np.int64)
             self.keys[slot], self.first[slot], self.count[slot] = new, begin, counts
         return self.pool[tx.ranges(first, count)], count
+
+
+class HashIndex:
+    """Position of 64-bit hashes in a fixed set of keys, -1 where absent: a table over the top bits of sorted keys."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 20):
+        self.order = np.argsort(keys)
+        self.keys = np.append(keys[self.order], np.uint64(0))
+        self.shift = np.uint64(64 - bits)
+        bounds = np.searchsorted(self.keys[:-1] >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64))
+        self.first = bounds[:-1].astype(np.int32)
+        self.deepest = int(np.diff(bounds).max(initial=0))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.first[(hashes >> self.shift).astype(np.int64)].astype(np.int64)
+        out = np.full(len(hashes), -1, np.int64)
+        for step in range(self.deepest):
+            spot = np.minimum(at + step, len(self.order))
+            hit = (self.keys[spot] == hashes) & (spot < len(self.order))
+            out[hit] = self.order[spot[hit]]
+        return out

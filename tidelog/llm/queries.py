@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontamination, fingerprints, line_dedup, token_files
+from tidelog.llm import decontamination, fingerprints, line_dedup, quality, sentencepiece_codec, token_files, toxicity
 from tidelog.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STRIPPED = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
 
 
+QUALITY_THRESHOLD = 0.3
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int"))
+
+
 @query(
     "op4_line_dedup",
     f"""
@@ -82,6 +91,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _tree_sql(text: str) -> str:
     paragraphs = f"list_transform(string_split({text}, chr(10)), lambda p: sha256(p))"
     return (
@@ -119,3 +133,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_documents(manifest)
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -27,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidelog.llm import text as tx
-from tidelog.llm.encoding import PieceCache, code_points
+from tidelog.llm.encoding import HashIndex, PieceCache, code_points
 from tidelog.llm.shared import portable, texts
 
 SPACE_MARK = 0x2581
+CHUNK = 1 << 22
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 UNIGRAM, BPE = 1, 2
 _codecs: dict = {}
@@ -69,15 +70,20 @@ class Codec:
         names = {int(k): model.pieces[k].piece for k in usable}
         score = {k: model.pieces[k].score for k in names}
         chars = sorted({c for name in names.values() for c in name})
+        chars_at = {c: k + 1 for k, c in enumerate(chars)}
         have = {name: k for k, name in names.items()}
         self.names = list(chars) + [names[k] for k in sorted((k for k in names if len(names[k]) > 1), key=lambda k: (-score[k], k))]
         self.ids = np.array([have.get(name, -1) for name in self.names], np.int32)  # -1: a character that is no piece
         self.scores = np.array([score[i] if i >= 0 else -1e9 for i in self.ids.tolist()])
         self.order = {name: k for k, name in enumerate(self.names)}
-        self.longest = max(map(len, self.names))
-        keys = np.array([tx.mix(self._hash(name)) for name in self.names], np.uint64)
-        self.sorted = np.argsort(keys)
-        self.keys = keys[self.sorted]
+        self.sizes = np.array([len(name) for name in self.names], np.int64)
+        self.longest = int(self.sizes.max())
+        self.reach = np.zeros(len(chars) + 1, np.int64)  # longest piece that begins with a character
+        for name in self.names:
+            k = chars_at[name[0]]
+            self.reach[k] = max(self.reach[k], len(name))
+        keys = tx.mix(np.concatenate([self._hash(name) for name in self.names]))
+        self.pieces = HashIndex(keys)
         self.char_class = np.zeros(0x110000, np.uint16)
         for k, c in enumerate(chars):
             self.char_class[ord(c)] = k + 1
@@ -88,12 +94,13 @@ class Codec:
         if self.kind == BPE:
             self._merges()
         self._decoding(model, kinds)
-        self.cache = PieceCache(self._encode_units, bits=20)
+        self.cache = PieceCache(self._encode_units)
 
     @staticmethod
     def _hash(name: str) -> np.ndarray:
         codes = _codes(np.array([ord(c) for c in name], np.uint64))
-        return (codes * tx.powers(tx.BASE, len(codes))).sum(dtype=np.uint64) + np.uint64(len(name)) * np.uint64(0xA0761D6478BD642F)
+        size = np.full(1, len(name), np.uint64)
+        return (codes * tx.powers(tx.BASE, len(codes))).sum(dtype=np.uint64, keepdims=True) + size * np.uint64(0xA0761D6478BD642F)
 
     def _merges(self) -> None:
         """Which two pieces merge into which, and the last merge inside each piece."""
@@ -103,9 +110,8 @@ class Codec:
                 a, b = self.order.get(name[:cut]), self.order.get(name[cut:])
                 if a is not None and b is not None:
                     pairs[a, b] = k
-        packed = np.array([a * n + b for a, b in pairs], np.int64)
-        at = np.argsort(packed)
-        self.pairs, self.merged = packed[at], np.array(list(pairs.values()), np.int64)[at]
+        self.pairs = HashIndex(tx.mix(np.array([a * n + b for a, b in pairs], np.uint64)))
+        self.merged = np.append(np.array(list(pairs.values()), np.int64), n)
         self.left, self.right = np.arange(n), np.arange(n)
         self.reached = np.zeros(n, bool)
         for k, name in enumerate(self.names):
@@ -146,9 +152,7 @@ class Codec:
         holds, open_ = np.ones(len(one), bool), np.arange(len(one))
         a, b, limit = one.copy(), two.copy(), np.full(len(one), n, np.int64)
         while len(open_):
-            packed = a * n + b
-            at = np.minimum(np.searchsorted(self.pairs, packed), len(self.pairs) - 1)
-            crossing = (self.pairs[at] == packed) & (self.merged[at] < limit)
+            crossing = self.merged[self.pairs.find(tx.mix((a * n + b).astype(np.uint64)))] < limit
             holds[open_[crossing]] = False
             single_a, single_b = self.left[a] == a, self.left[b] == b
             done = crossing | (single_a & single_b)
@@ -219,9 +223,7 @@ class Codec:
 
     def _probe(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Piece of each substring, -1 if it is none."""
-        hashes = tx.mix(self._range_hash(starts, ends))
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.sorted[at], -1)
+        return self.pieces.find(tx.mix(self._range_hash(starts, ends)))
 
     def _encode_units(self, at: np.ndarray, _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         points, starts, ends = self.chunk
@@ -248,14 +250,21 @@ class Codec:
         last = np.full((length + 1, w), -1, np.int64)
         best = np.full((length + 1, w), -np.inf)
         best[0] = 0
+        reach = self.reach[self.char_class[points[begin + np.arange(length)[:, None]]]]
+        piece = np.empty(w, np.int64)
         for end in range(1, length + 1):
             for size in range(1, min(end, self.longest) + 1):
-                piece = self._probe(begin + end - size, begin + end)
-                lanes = np.flatnonzero(piece >= 0)
+                lanes = np.flatnonzero(reach[end - size] >= size)
+                if self.kind == BPE and size < end:
+                    lanes = lanes[last[end - size, lanes] >= 0]
+                if not len(lanes):
+                    continue
+                found = self._probe(begin[lanes] + end - size, begin[lanes] + end)
+                piece[lanes] = found
+                lanes = lanes[found >= 0]
                 if self.kind == BPE:
                     lanes = lanes[self.reached[piece[lanes]]]
                     if size < end:
-                        lanes = lanes[last[end - size, lanes] >= 0]
                         lanes = lanes[self._admits(last[end - size, lanes], piece[lanes])]
                     value = np.zeros(len(lanes))
                 else:
@@ -269,7 +278,6 @@ class Codec:
         # Follow the back pointers of all units together.
         place = np.full(w, length)
         rows, ends, pieces = [], [], []
-        sizes = np.array([len(name) for name in self.names])
         while True:
             lanes = np.flatnonzero(place > 0)
             if not len(lanes):
@@ -278,7 +286,7 @@ class Codec:
             rows.append(lanes)
             ends.append(place[lanes])
             pieces.append(piece)
-            place[lanes] -= np.where(piece >= 0, sizes[piece], 1)
+            place[lanes] -= np.where(piece >= 0, self.sizes[piece], 1)
         row, end, piece = (np.concatenate(x) for x in (rows, ends, pieces))
         order = np.lexsort((end, row))
         row, end, piece = row[order], end[order], piece[order]
@@ -327,7 +335,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model)
-        for rows, data, offsets in tx.text_chunks(batches):
+        for rows, data, offsets in tx.text_chunks(batches, limit=CHUNK):
             ids, counts = coder.encode(data, offsets)
             points, bounds = coder.normalize(data, offsets)
             wanted = np.where(points == SPACE_MARK, 0x20, points).astype(np.uint32)
