@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontamination, fingerprints, line_dedup, quality, sentencepiece_codec, token_files, toxicity
+from tidelog.llm import decontamination, fingerprints, line_dedup, quality, sentencepiece_codec, suffix_dedup, token_files, toxicity, warc
 from tidelog.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,11 +91,38 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_FIVE = " + ".join(f"CAST(b[i * 5 + {k + 1}] AS INT) * {16 >> k}" for k in range(5))
+
+
+@query(
+    "op5_warc",
+    f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS b FROM pages),
+    d AS (SELECT page_id, html, array_to_string(list_transform(range(32), lambda i: substr('{_ALPHABET}', {_FIVE} + 1, 1)), '') AS digest FROM p),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first_id FROM d)
+    SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM f
+    """,
+)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    records = warc.read_warc(warc.write_warc(pages), pages.schema["page_id"].dataType.simpleString())
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op6_sentencepiece")
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def _tree_sql(text: str) -> str:
     paragraphs = f"list_transform(string_split({text}, chr(10)), lambda p: sha256(p))"
     return (
