@@ -82,20 +82,8 @@ def _merge(runs: list[DataFrame]) -> DataFrame:
     return out.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
 
 
-def drop_repeated_lines(
-    docs: DataFrame,
-    min_chars: int = 20,
-    min_docs: int = 3,
-    batches: int = BATCHES,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the kept text of every document.
-
-    A key of at least ``min_chars`` code points in at least ``min_docs`` documents stays only in the
-    largest doc_id that holds it.
-    """
-    spark, base = docs.sparkSession, texts(docs, id_col, text_col)
+def repeated_lines(base: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
+    """doc_id and ``gone``, the hashes of the lines that the document loses, where there are any."""
     held = staged(
         base.where("doc_id IS NOT NULL")
         .select("doc_id", F.explode(key_hashes(F.col("text"), min_chars)).alias("k"))
@@ -106,7 +94,7 @@ def drop_repeated_lines(
     steps = [i / batches for i in range(1, batches)]
     cuts = held.agg(F.percentile_approx("doc_id", steps)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
-    runs = SortedRuns(spark)
+    runs = SortedRuns(base.sparkSession)
     for low, high in reversed(list(zip(edges, edges[1:]))):
         part = held
         if low is not None:
@@ -115,26 +103,52 @@ def drop_repeated_lines(
             part = part.where(F.col("doc_id") <= F.lit(high))
         runs.add(part)
     repeated = runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
-    dropped = (
+    return (
         held.join(repeated, ["h1", "h2"])
         .where("doc_id < keeper")
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
     )
-    lines = lines_of(F.col("text"))
+
+
+def _kept(text: Column, gone: Column, min_chars: int) -> Column:
+    lines = lines_of(text)
 
     def stays(line: Column) -> Column:
         key = line_key(line)
-        return (F.char_length(line) < min_chars) | (F.char_length(key) < min_chars) | ~F.array_contains(F.col("gone"), _hashed(key))
+        return (F.char_length(line) < min_chars) | (F.char_length(key) < min_chars) | ~F.array_contains(gone, _hashed(key))
+
+    return F.when(gone.isNull(), lines).otherwise(F.filter(lines, stays))
 
-    kept = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, stays))
+
+def drop_repeated_lines(
+    docs: DataFrame,
+    min_chars: int = 20,
+    min_docs: int = 3,
+    batches: int = BATCHES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """doc_id, n_lines, n_dropped and the kept text of every document.
+
+    A key of at least ``min_chars`` code points in at least ``min_docs`` documents stays only in the
+    largest doc_id that holds it.
+    """
+    base = texts(docs, id_col, text_col)
+    lost = repeated_lines(base, min_chars, min_docs, batches)
     return (
-        base.join(dropped, "doc_id", "left")
-        .select("doc_id", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
-        .select(
-            "doc_id",
-            "n_lines",
-            (F.col("n_lines") - F.size("kept")).alias("n_dropped"),
-            F.array_join("kept", "\n").alias("text"),
-        )
+        base.join(lost, "doc_id", "left")
+        .select("doc_id", F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), _kept(F.col("text"), F.col("gone"), min_chars).alias("kept"))
+        .select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
     )
+
+
+def without_repeated_lines(
+    docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = BATCHES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The documents with all their columns and the kept text; a null text stays null."""
+    lost = repeated_lines(texts(docs, id_col, text_col), min_chars, min_docs, batches)
+    lost = lost.select(F.col("doc_id").alias("__lost_id"), F.col("gone").alias("__gone"))
+    kept = F.array_join(_kept(F.col(text_col), F.col("__gone"), min_chars), "\n")
+    joined = docs.join(lost, F.col(id_col) == F.col("__lost_id"), "left")
+    return joined.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontamination, fingerprints, line_dedup, quality, sentencepiece_codec, suffix_dedup, token_files, toxicity, warc
+from tidelog.llm import decontamination, fingerprints, jaccard_join, line_dedup, quality, sentencepiece_codec, suffix_dedup, token_files, toxicity, warc
 from tidelog.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,27 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STRIPPED = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
 
 
+@query(
+    "op2_jaccard_join",
+    f"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS MATERIALIZED (
+        SELECT DISTINCT doc_id, ws[p : p + least(5, len(ws)) - 1] AS g
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS p FROM w WHERE len(ws) > 0)),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    l AS MATERIALIZED (
+        SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL) c
+        JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+    r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+    SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id
+    FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
+)
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUALITY_THRESHOLD = 0.3
 
 
@@ -165,3 +186,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)

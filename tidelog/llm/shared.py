@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
+import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.session import staged, work_dir
 
-__all__ = ["staged", "work_dir", "texts", "portable", "bit_words"]
+__all__ = ["staged", "work_dir", "texts", "portable", "Marks"]
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -19,13 +20,26 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def bit_words(hashes: DataFrame, column: str, bits: int) -> list[tuple[int, int]]:
-    """A bitmap of 2**bits positions (lowest bits of ``column``) as (word number, word); at most 2**bits / 64 rows."""
-    slot = F.col(column).bitwiseAND((1 << bits) - 1)
-    words = hashes.groupBy(F.shiftright(slot, 6).alias("w")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("v")
-    )
-    return [(r.w, r.v) for r in words.collect()]
+class Marks:
+    """A bitmap of 64-bit keys that never misses one; its size is bounded whatever their number.
+
+    It has 8 positions for each key up to 2**``bits`` in all; beyond, it lets more strangers pass.
+    """
+
+    def __init__(self, keys: DataFrame, column: str, bits: int = 26):
+        self.bits = min(bits, max(10, (8 * keys.count()).bit_length()))
+        slot = F.col(column).bitwiseAND(F.lit((1 << self.bits) - 1))
+        words = (
+            keys.groupBy(F.shiftright(slot, 6).alias("w"))
+            .agg(F.bit_or(F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")).alias("v"))
+            .toPandas()
+        )
+        self.words = np.zeros((1 << self.bits) // 64, np.uint64)
+        self.words[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys.view(np.uint64) & np.uint64((1 << self.bits) - 1)
+        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
 def portable(fn: Callable) -> Callable:

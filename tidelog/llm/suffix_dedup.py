@@ -34,13 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import text as tx
-from tidelog.llm.shared import portable, staged, texts
+from tidelog.llm.shared import Marks, portable, staged, texts
 
 REPEAT = 200
 GRAM = 48
 GROUP = 4096
 SLAB = 1 << 17
-MARK_BITS = 26
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray, repeat: int, gram: int) -> dict[str, np.ndarray]:
@@ -97,22 +96,6 @@ def _runs(base: DataFrame, repeat: int, gram: int) -> DataFrame:
     return base.mapInArrow(portable(run), f"anchor bigint, content bigint, doc_id {kind}, dkey bigint, lo int, hi int, at int")
 
 
-class Marks:
-    """A bitmap of document keys: never misses one, and its size is bounded whatever their number."""
-
-    def __init__(self, keys: DataFrame, bits: int = MARK_BITS):
-        n = keys.count()
-        self.bits = min(bits, max(10, (8 * n).bit_length()))
-        slot = F.col("dkey").bitwiseAND(F.lit((1 << self.bits) - 1))
-        words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(dkey & 63 AS INT))")).alias("v")).toPandas()
-        self.words = np.zeros(max(1, (1 << self.bits) // 64), np.uint64)
-        self.words[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys.view(np.uint64) & np.uint64((1 << self.bits) - 1)
-        return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _marked_texts(base: DataFrame, marks: Marks, every: bool) -> DataFrame:
     """doc_id, dkey and text of marked documents; with ``every`` also the others, their text null."""
     import pyarrow.compute as pc
@@ -282,7 +265,7 @@ def repeated_spans(base: DataFrame, repeat: int = REPEAT, gram: int = GRAM, grou
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("size"), F.min("copies").alias("least")).where("size > 1 AND least = 1").select("anchor", "size")
     wanted = staged(classes.join(mixed, "anchor").select("anchor", "size", "copies", "one.*"), "repeat-wanted")
     needs = wanted.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("anchor", "size", "copies", "lo", "hi", "at")).alias("runs"))
-    marked = _marked_texts(base, Marks(wanted.select("dkey").distinct()), False)
+    marked = _marked_texts(base, Marks(wanted.select("dkey").distinct(), "dkey"), False)
     left = marked.alias("t").join(needs.alias("w"), F.expr("t.doc_id <=> w.doc_id AND t.dkey = w.dkey")).select("t.doc_id", "t.dkey", "t.text", "w.runs")
     cut = staged(_contexts(left, repeat, gram), "repeat-contexts")
     fine = _suffix_spans(cut.where(F.col("size") <= group), repeat, gram)
@@ -325,7 +308,7 @@ def remove_repeats(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM, grou
     spans = staged(repeated_spans(base, repeat, gram, group).groupBy("doc_id", "dkey").agg(F.collect_set(F.struct("start", "after")).alias("spans")), "repeat-spans")
     sized = base.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("sha", F.sha2("text", 256))
     if not with_kept:  # texts without a repeat need not travel
-        sized = _marked_texts(sized, Marks(spans.select("dkey").distinct()), True)
+        sized = _marked_texts(sized, Marks(spans.select("dkey").distinct(), "dkey"), True)
     joined = sized.alias("t").join(spans.alias("s"), F.expr("t.doc_id <=> s.doc_id AND t.dkey = s.dkey"), "left").select("t.doc_id", "t.text", "t.n_bytes", "t.sha", "s.spans")
     kind = base.schema["doc_id"].dataType.simpleString()
 

@@ -206,3 +206,17 @@ def severity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             )
 
     return base.mapInArrow(portable(run), f"doc_id {kind}, n_words bigint, expected_severity double, grade int, p_toxic double, toxic boolean")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """The documents, with all their columns, that are not toxic."""
+    model = fit(texts(docs, id_col, text_col), labels, sample=sample)
+    if model is None:
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in tx.text_chunks(batches, text_col):
+            linear, _ = model.linear(data, offsets)
+            yield rows.filter(pa.array(model.at_least(linear)[:, 0] <= model.decision))
+
+    return docs.mapInArrow(portable(run), docs.schema)
