@@ -213,7 +213,7 @@ def read_warc(manifest: DataFrame, id_type: str = "bigint", with_payload: bool =
                 if rows:
                     yield _rows(rows, with_payload)
 
-    files = manifest.select("folder", "file").repartition("file")
+    files = manifest.select("folder", "file").repartition(max(1, manifest.count()))  # a task for each file
     found = files.mapInArrow(portable(read), f"page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string{payload}")
     return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
