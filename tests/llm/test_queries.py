@@ -74,12 +74,12 @@ def test_quality_on_the_held_out_fold(spark, sf_dir):
 
 
 def test_toxicity_finds_toxic_and_leaves_clean(spark, sf_dir):
-    sf = str(Path(sf_dir).parent / "sf0.01")
+    sf = str(Path(sf_dir).parent / "sf0.1")
     marks = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet'").fetchall())
     # Fitted on the labels of even ids, judged on the others.
     labels = table(spark, sf, "labels")
     rows = toxicity.severity(table(spark, sf, "documents"), labels.where("doc_id % 2 = 0")).collect()
-    odd = [r for r in rows if r.doc_id % 2]
+    odd = [r for r in rows if r.doc_id % 2 and r.doc_id in marks]
     caught = np.mean([r.toxic for r in odd if marks[r.doc_id] == 1])
     wrong = np.mean([r.toxic for r in odd if marks[r.doc_id] == 0])
     assert caught >= 0.7 and wrong <= 0.02
