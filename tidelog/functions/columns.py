@@ -37,13 +37,15 @@ def hash_total(h: Column) -> Column:
 
 
 def row_hash64(cols: Sequence[str]) -> Column:
-    """64-bit row hash for comparisons inside Spark. ``xxhash64`` skips NULLs, so a mask of the
-    NULL positions is hashed along."""
-    nulls = [F.when(F.col(c).isNull(), F.lit(1 << (i % 60))).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(cols)]
-    mask = nulls[0]
-    for n in nulls[1:]:
-        mask = mask.bitwiseXOR(n)
-    return F.xxhash64(*cols, mask)
+    """64-bit row hash for comparisons inside Spark. ``xxhash64`` skips NULLs, so masks of the
+    NULL positions, one for each 60 columns, are hashed along."""
+    masks = []
+    for start in range(0, len(cols), 60):
+        mask = F.lit(0).cast("bigint")
+        for i, c in enumerate(cols[start : start + 60]):
+            mask = mask.bitwiseXOR(F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
+        masks.append(mask)
+    return F.xxhash64(*cols, *masks)
 
 
 def multiset_sum(h: Column) -> Column:
@@ -68,7 +70,8 @@ def instant(text: str) -> Column:
 
 
 def floor_div(a: Column, b: Column | int) -> Column:
-    return F.floor(a / b).cast("bigint")
+    """Whole quotient, NULL for a divisor of 0."""
+    return F.floor(F.try_divide(a, F.lit(b) if isinstance(b, int) else b)).cast("bigint")
 
 
 def percent(part: Column, whole: Column, digits: int | None = None) -> Column:

@@ -106,7 +106,8 @@ def refresh_rollup(path: str, before: DataFrame, after: DataFrame, ts: str, amou
     touched = [r[0] for r in before.select(month).union(current.select(month)).distinct().collect()]  # months only
     if not touched:
         return
-    fresh = rollup_daily(after.where(F.date_format(ts, "yyyyMM").cast("int").isin(touched)), ts, amount)
+    held = F.date_format(ts, "yyyyMM").cast("int").isin([m for m in touched if m is not None])
+    fresh = rollup_daily(after.where(F.coalesce(held, F.lit(None in touched))), ts, amount)
     stage = staged(fresh.withColumn(_MONTH, F.date_format("day", "yyyyMM").cast("int")), "rollup", [_MONTH])
     write_table(stage, path, [_MONTH], ["day"], dynamic=True)
     left = {r[0] for r in stage.select(_MONTH).distinct().collect()}

@@ -137,10 +137,10 @@ def confirm_missing(errors: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def confirm_schema(errors: DataFrame, tables: DataFrame) -> DataFrame:
-    """Fields named by schema errors of existing tables, with the first message (100 characters)."""
+    """Fields named by schema errors of existing tables, with the first message."""
     mismatch = errors.where(F.col("category") == "SCHEMA_MISMATCH")
     rows = mismatch.select("table_name", F.explode("problematic_fields").alias("field"), "exception_message", *ORDER)
-    first = F.min_by(F.substring("exception_message", 1, 100), F.struct(*ORDER))
+    first = F.min_by("exception_message", F.struct(*ORDER))
     fields = rows.groupBy("table_name", "field").agg(F.count("*").alias("n"), first.alias("first_message"))
     there = fields.join(tables.select("table_name").distinct(), "table_name", "left_semi")
     return there.select(F.concat_ws(".", "table_name", "field").alias("table_field"), "n", "first_message")
@@ -189,7 +189,7 @@ def root_causes(errors: DataFrame, samples: int = 3) -> DataFrame:
     )
     by = Window.partitionBy("category").orderBy(*ORDER)
     first = (
-        known(errors).select("category", F.substring("exception_message", 1, 200).alias("message"), *ORDER)
+        known(errors).select("category", F.col("exception_message").alias("message"), *ORDER)
         .withColumn("position", F.row_number().over(by))
         .where(F.col("position") <= samples)
         .groupBy("category")
@@ -281,7 +281,7 @@ def extrapolate(sample: DataFrame, total_rows: Column, by: Sequence[str] = ("tab
     """Counts in a sample and what they stand for in all records."""
     counts = sample.groupBy(*by).agg(F.count("*").alias("n_sample"))
     size = total(counts, F.sum("n_sample"))
-    estimate = F.round(F.col("n_sample") / (size / total_rows)).cast("bigint")
+    estimate = F.round(F.try_divide(F.col("n_sample"), F.try_divide(size, total_rows))).cast("bigint")
     return counts.withColumn("n_estimated", estimate)
 
 
@@ -317,11 +317,12 @@ def replay(
     """Run dead letters through the pipeline again after a fix.
 
     Returns the rows that now fit and the records that still fail, whose ``attempt`` is one
-    higher. Tables in ``exclude`` are left where they are (neither replayed nor counted).
+    higher. Tables in ``exclude`` are left where they are (neither replayed nor counted); a record
+    without a topic belongs to none of them.
     """
     if exclude:
         located = ev.route_topic(dlq, out="_table")
-        dlq = located.where(~F.col("_table").isin(*exclude)).drop("_table")
+        dlq = located.where(~F.coalesce(F.col("_table").isin(*exclude), F.lit(False))).drop("_table")
     messages = dlq.select("topic", "part", "off", "msg_key", "value", (F.col("attempt") + 1).alias("attempt"))
     rows = ev.normalise_values(ev.unwrap(ev.parse_envelope(messages, types)), types)
     return ev.split_valid(rows, required)

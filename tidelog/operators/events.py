@@ -91,16 +91,18 @@ def parse_envelope(messages: DataFrame, types: Mapping[str, str], value: str = "
 
 
 def unwrap(parsed: DataFrame) -> DataFrame:
-    """Row image per event: ``before`` for deletes, ``after`` otherwise; only known operations.
+    """Row image per event: ``before`` for deletes, ``after`` otherwise.
 
-    Broken messages stay, with a NULL image, so that ``split_valid`` can send them to the
-    dead letters; events with an unknown operation are left out.
+    Broken messages and events with a missing or unknown operation stay, with a NULL image, so
+    that ``split_valid`` can send them to the dead letters; ``_problems`` names ``op`` for the latter.
     """
     columns = parsed.schema["after"].dataType.names
-    image = F.when(F.col("op") == "d", F.col("before")).otherwise(F.col("after"))
-    kept = parsed.where(F.col("op").isin(*OPS) | F.col("_corrupt_record").isNotNull())
-    rest = [c for c in parsed.columns if c not in ("before", "after")]
-    return kept.select(*rest, *[image.getField(c).alias(c) for c in columns])
+    known = F.coalesce(F.col("op").isin(*OPS), F.lit(False))
+    image = F.when(F.col("op") == "d", F.col("before")).when(known, F.col("after"))
+    unknown = F.when(~known & F.col("_corrupt_record").isNull(), F.array(F.lit("op"))).otherwise(F.array().cast("array<string>"))
+    rest = [c for c in parsed.columns if c not in ("before", "after", "_problems")]
+    found = F.concat("_problems", unknown) if "_problems" in parsed.columns else unknown
+    return parsed.select(*rest, *[image.getField(c).alias(c) for c in columns], found.alias("_problems"))
 
 
 def rewrite_deletes(rows: DataFrame, add_fields: Sequence[str] = ("op", "source.ts_ms")) -> DataFrame:
@@ -222,9 +224,11 @@ def _failure_columns(stage: str = "VALUE_CONVERTER") -> dict[str, Column]:
 def split_valid(rows: DataFrame, required: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Separate typed rows from failures, row by row: one bad row never fails its batch.
 
-    Failures are the broken messages, rows with a value that does not fit and rows without a
-    ``required`` value. They keep the original message and get context headers.
+    Failures are the broken messages, events without a known operation, rows with a value that does
+    not fit and rows without a ``required`` value. A version is required where there is a column for
+    it: a NULL would lose against every other. They keep the original message and get context headers.
     """
+    required = [*required, *([VERSION] if VERSION in rows.columns and VERSION not in required else [])]
     missing = F.array_compact(
         F.array(*[F.when(F.col(c).isNull() & F.col("_corrupt_record").isNull(), F.lit(c)) for c in required])
     ) if required else F.array().cast("array<string>")

@@ -189,8 +189,8 @@ def sync_grade(breakdown: DataFrame) -> DataFrame:
 
 
 def accuracy_grade(statuses: DataFrame) -> DataFrame:
-    """Whole percent of tables that match, graded PASSED (95), WARNING (80) or FAILED."""
-    whole = F.floor(F.count_if(F.col("status") == "OK") * 100 / F.count("*")).cast("bigint")
+    """Whole percent of tables that match, graded PASSED (95), WARNING (80) or FAILED (also without tables)."""
+    whole = F.floor(F.try_divide(F.count_if(F.col("status") == "OK") * 100, F.count("*"))).cast("bigint")
     out = statuses.agg(F.count("*").alias("tables"), whole.alias("accuracy_percent"))
     return out.withColumn("grade", band(F.col("accuracy_percent"), [(95, "PASSED"), (80, "WARNING")], "FAILED"))
 

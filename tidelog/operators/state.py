@@ -131,15 +131,18 @@ def merge_upsert(
 ) -> DataFrame:
     """``target`` after applying a batch of changes by key: last change wins, deletes remove.
 
+    A target that holds the ``version`` columns keeps a row that is newer than the batch's, so a batch
+    that is delivered again late changes nothing; without them the batch counts as newer.
     Expressed as one merge over target and batch rather than an anti-join and a union: the
     batch is shuffled once, and a hot key is reduced before the shuffle. Only target columns
     are kept. The target must hold at most one row per key.
     """
     last = last_of_batch(batch, keys, version)
     values = [c for c in target.columns if c not in keys]
-    old = target.select(*keys, F.struct(*values).alias("_row"), F.lit(0).alias("_side"), F.lit(0).alias("_gone"))
-    new = last.select(
-        *keys, F.struct(*values).alias("_row"), F.lit(1).alias("_side"), F.col(deleted).cast("int").alias("_gone")
-    )
+    known = [target.schema[v] for v in version] if set(version) <= set(target.columns) else []
+    order = [F.col(f.name).cast(f.dataType).alias(f"v{i}") for i, f in enumerate(known)]
+    side = lambda n: F.struct(*order, F.lit(n).alias("side")).alias("_side")
+    old = target.select(*keys, F.struct(*values).alias("_row"), side(0), F.lit(0).alias("_gone"))
+    new = last.select(*keys, F.struct(*values).alias("_row"), side(1), F.col(deleted).cast("int").alias("_gone"))
     merged = old.unionByName(new).groupBy(*keys).agg(F.max_by(F.struct("_row", "_gone"), "_side").alias("_m"))
     return merged.where(F.col("_m._gone") == 0).select(*keys, "_m._row.*").select(*target.columns)

@@ -171,7 +171,7 @@ def confirm_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     "f08_confirm_schema",
     f"""WITH {_ERRORS}, x AS (SELECT table_name, unnest(fields) AS field, h_message, part, off FROM errs WHERE category = 'SCHEMA_MISMATCH')
         SELECT table_name || '.' || field AS table_field, count(*) AS n,
-               min_by(substr(h_message, 1, 100), part * 1000000000 + off) AS first_message
+               min_by(h_message, part * 1000000000 + off) AS first_message
         FROM x WHERE table_name IN ({_CATALOG}) GROUP BY table_name, field""",
 )
 def confirm_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +206,7 @@ _CAUSES = f"""{_ERRORS},
            FROM errs WHERE category <> 'UNKNOWN' GROUP BY category),
     ff AS (SELECT category, string_agg(DISTINCT field, ',' ORDER BY field) AS affected_fields
            FROM (SELECT category, unnest(fields) AS field FROM errs WHERE category <> 'UNKNOWN') u GROUP BY category),
-    fm AS (SELECT category, string_agg(substr(h_message, 1, 200), ' / ' ORDER BY part, off) AS sample_messages
+    fm AS (SELECT category, string_agg(h_message, ' / ' ORDER BY part, off) AS sample_messages
            FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY part, off) AS rn FROM errs) r
            WHERE rn <= 3 GROUP BY category),
     causes AS (SELECT c.*, ft.affected_tables, coalesce(ff.affected_fields, '') AS affected_fields, fm.sample_messages,

@@ -61,11 +61,18 @@ def ctas(df: DataFrame, path: str, sort_by: Sequence[str] = (), partition_by: Se
 
 
 def drop_partitions(spark: SparkSession, path: str, partition: str, values: Sequence) -> None:
-    """Remove partition folders; only metadata operations, no data is read."""
+    """Remove partition folders; only metadata operations, no data is read.
+
+    Names are escaped as Spark writes them, and nothing but a direct child of the table is deleted.
+    """
     jvm = spark.sparkContext._jvm
+    table = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
     for v in values:
-        name = "__HIVE_DEFAULT_PARTITION__" if v is None else v
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{partition}={name}")
+        text = None if v is None else str(v).lower() if isinstance(v, bool) else str(v)
+        folder = jvm.org.apache.hadoop.fs.Path(table, escape(partition, text))
+        if not folder.getParent().equals(table):
+            raise ValueError(f"{v!r} names no partition of {path}")
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
