@@ -31,7 +31,7 @@ from tidelog.llm.encoding import HashIndex, PieceCache, code_points
 from tidelog.llm.shared import portable, texts
 
 SPACE_MARK = 0x2581
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 UNIGRAM, BPE = 1, 2
 _codecs: dict = {}
