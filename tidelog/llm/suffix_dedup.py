@@ -4,7 +4,7 @@ A string of ``REPEAT`` bytes that occurs twice has its smallest hash of ``GRAM``
 the same offset in both places. These anchors are the sampled suffixes: one for each run of window
 starts that share it (about 76 bytes of text). The steps:
 
-1. Count anchors; those that occur once carry no repeat. Runs with the same anchor and the same bytes
+1. Count anchors; those that occur once carry no repeat (a bitmap keeps most of them back). Runs with the same anchor and the same bytes
    form a class; every byte of a class with two members is repeated.
 2. Of each anchor with several classes, one run of each class goes on with its bytes. Suffixes
    (bytes from the anchor on) are sorted within partitions, neighbours give the array of common
@@ -26,7 +26,7 @@ gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import text as tx
-from tidelog.llm.shared import Marks, portable, staged, texts
+from tidelog.llm.shared import Marks, Scratch, portable, staged, texts
 
 REPEAT = 200
 GRAM = 48
 GROUP = 4096
 SLAB = 1 << 17
+CHUNK = 1 << 20
 
 
 def window_runs(data: np.ndarray, offsets: np.ndarray, repeat: int, gram: int) -> dict[str, np.ndarray]:
@@ -71,20 +72,25 @@ def window_runs(data: np.ndarray, offsets: np.ndarray, repeat: int, gram: int) -
 
 def _anchors(base: DataFrame, repeat: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in tx.text_chunks(batches):
+        for _, data, offsets in tx.text_chunks(batches, limit=CHUNK):
             runs = window_runs(data, offsets, repeat, gram)
             yield pa.RecordBatch.from_arrays([pa.array(runs["anchor"].view(np.int64))], names=["anchor"])
 
     return base.mapInArrow(portable(run), "anchor bigint")
 
 
-def _runs(base: DataFrame, repeat: int, gram: int) -> DataFrame:
-    """anchor, content, doc_id, dkey, and the run's first and last window start and anchor in the document."""
+def _runs(base: DataFrame, repeat: int, gram: int, marks: Marks) -> DataFrame:
+    """anchor, content, doc_id, dkey, and the run's first and last window start and anchor in the document.
+
+    Only anchors that are marked; a stranger that passes is a class of its own and matches nothing.
+    """
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in tx.text_chunks(batches):
+        for rows, data, offsets in tx.text_chunks(batches, limit=CHUNK):
             runs = window_runs(data, offsets, repeat, gram)
+            often = marks.holds(runs["anchor"])
+            runs = {k: v[often] for k, v in runs.items()}
             row, first = pa.array(runs["row"]), offsets[runs["row"]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(runs[k].view(np.int64)) for k in ("anchor", "content")]
@@ -216,7 +222,7 @@ def _suffix_spans(rows: DataFrame, repeat: int, gram: int) -> DataFrame:
     return ordered.mapInArrow(portable(run), f"doc_id {kind}, dkey bigint, start int, after int")
 
 
-def _window_spans(rows: DataFrame, repeat: int) -> DataFrame:
+def _window_spans(rows: DataFrame, repeat: int, stage: Callable) -> DataFrame:
     """The same for anchors with very many classes: every window is hashed, and windows are counted."""
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -241,21 +247,21 @@ def _window_spans(rows: DataFrame, repeat: int) -> DataFrame:
                 )
 
     whole = rows.select("anchor", "copies", "doc_id", "dkey", "lo", "content")
-    windows = staged(
+    windows = stage(
         whole.mapInArrow(portable(run), f"anchor bigint, window bigint, copies bigint, doc_id {kind}, dkey bigint, start int"), "hot-windows"
     )
     repeated = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("n")).where("n > 1").select("anchor", "window")
     return windows.where("copies = 1").join(repeated, ["anchor", "window"], "left_semi").select("doc_id", "dkey", "start", (F.col("start") + repeat).alias("after"))
 
 
-def repeated_spans(base: DataFrame, repeat: int = REPEAT, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def repeated_spans(base: DataFrame, repeat: int = REPEAT, gram: int = GRAM, group: int = GROUP, stage: Callable = staged) -> DataFrame:
     """doc_id, dkey, start, after (bytes): spans that cover exactly the repeated bytes; they may overlap.
 
     ``base`` has doc_id, text and dkey, a hash of the text.
     """
     often = _anchors(base, repeat, gram).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    runs = staged(_runs(base, repeat, gram).join(often, "anchor", "left_semi"), "repeat-runs")
-    classes = staged(
+    runs = stage(_runs(base, repeat, gram, Marks(stage(often, "repeat-anchors"), "anchor")), "repeat-runs")
+    classes = stage(
         runs.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "dkey", "lo", "hi", "at")).alias("one")), "repeat-classes"
     )
     whole = (
@@ -263,13 +269,13 @@ def repeated_spans(base: DataFrame, repeat: int = REPEAT, gram: int = GRAM, grou
         .select("doc_id", "dkey", F.col("lo").alias("start"), (F.col("hi") + repeat).alias("after"))
     )
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("size"), F.min("copies").alias("least")).where("size > 1 AND least = 1").select("anchor", "size")
-    wanted = staged(classes.join(mixed, "anchor").select("anchor", "size", "copies", "one.*"), "repeat-wanted")
+    wanted = stage(classes.join(mixed, "anchor").select("anchor", "size", "copies", "one.*"), "repeat-wanted")
     needs = wanted.groupBy("doc_id", "dkey").agg(F.collect_list(F.struct("anchor", "size", "copies", "lo", "hi", "at")).alias("runs"))
     marked = _marked_texts(base, Marks(wanted.select("dkey").distinct(), "dkey"), False)
     left = marked.alias("t").join(needs.alias("w"), F.expr("t.doc_id <=> w.doc_id AND t.dkey = w.dkey")).select("t.doc_id", "t.dkey", "t.text", "w.runs")
-    cut = staged(_contexts(left, repeat, gram), "repeat-contexts")
+    cut = stage(_contexts(left, repeat, gram), "repeat-contexts")
     fine = _suffix_spans(cut.where(F.col("size") <= group), repeat, gram)
-    hot = _window_spans(cut.where(F.col("size") > group), repeat)
+    hot = _window_spans(cut.where(F.col("size") > group), repeat, stage)
     return whole.unionByName(fine).unionByName(hot)
 
 
@@ -305,7 +311,9 @@ def _contexts(rows: DataFrame, repeat: int, gram: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, repeat: int = REPEAT, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept bytes) of every document."""
     base = texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("dkey", F.xxhash64("text"))
-    spans = staged(repeated_spans(base, repeat, gram, group).groupBy("doc_id", "dkey").agg(F.collect_set(F.struct("start", "after")).alias("spans")), "repeat-spans")
+    scratch = Scratch(docs.sparkSession)
+    spans = staged(repeated_spans(base, repeat, gram, group, scratch.stage).groupBy("doc_id", "dkey").agg(F.collect_set(F.struct("start", "after")).alias("spans")), "repeat-spans")
+    scratch.clear()
     sized = base.withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("sha", F.sha2("text", 256))
     if not with_kept:  # texts without a repeat need not travel
         sized = _marked_texts(sized, Marks(spans.select("dkey").distinct(), "dkey"), True)
