@@ -29,7 +29,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Documents without an id link nothing and stay; of rows with equal doc_id and text one stays.
     """
-    found = staged(jaccard_join.near_duplicates(docs).where("doc_id IS NOT NULL"), "near-duplicates")
+    found = jaccard_join.near_duplicates(docs).where("doc_id IS NOT NULL")
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     twice = found.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__twice"))

@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.shared import staged
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, stage: Callable = staged) -> DataFrame:
     """v and the smallest vertex it reaches, for edges (a, b); vertices without an edge do not appear.
 
     Each round hangs the larger neighbours of a vertex on its smallest one and then the smaller ones;
     the number of rounds grows with the logarithm of the longest chain.
     """
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = staged(large, "large-star")
+        large = stage(large, "large-star")
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(lowest, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = staged(small, "small-star")
+        after = stage(small, "small-star")
         if after.count() == now.count() and after.exceptAll(now).isEmpty():
             return after.select(F.col("u").alias("v"), F.col("v").alias("component"))
         now = after

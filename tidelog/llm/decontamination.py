@@ -16,7 +16,7 @@ empty corpus gives no rows; rows that repeat a document each get their own resul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm import text as tx
-from tidelog.llm.shared import portable, staged, texts
+from tidelog.llm.shared import Scratch, portable, staged, texts
 
 WINDOW = 10
 BLOCK = 20_000  # windows that go to the executors at a time: at most 10 * 8 * 20,000 bytes of hashes
@@ -37,7 +37,7 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return tx.RangeHash(tx.LOWER[data]).of(starts, ends), first
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stage: Callable = staged) -> DataFrame:
     """One row for each segment: its documents, their word counts, terms and postings."""
     base = texts(docs, id_col, text_col)
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -62,7 +62,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 names=["doc_ids", "counts", "terms", "heads", "places"],
             )
 
-    return staged(
+    return stage(
         base.mapInArrow(portable(segments), f"doc_ids array<{kind}>, counts binary, terms binary, heads binary, places binary"),
         "postings",
     )
@@ -249,7 +249,8 @@ def _merged(spans: np.ndarray) -> list[dict]:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items and contaminated for every document."""
-    found = search(build_index(docs, id_col, text_col), items, window)
+    scratch = Scratch(docs.sparkSession)
+    found = search(build_index(docs, id_col, text_col, scratch.stage), items, window)
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("reach")),
@@ -259,4 +260,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
         ),
         lambda acc: acc["n"],
     )
-    return found.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items").withColumn("contaminated", F.col("n_hit") > 0)
+    out = found.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items")
+    out = staged(out.withColumn("contaminated", F.col("n_hit") > 0), "contamination")
+    scratch.clear()
+    return out

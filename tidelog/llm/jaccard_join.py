@@ -28,7 +28,7 @@ their own; a document with a null doc_id gets no component and links nothing; an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import text as tx
 from tidelog.llm.components import connected_components
-from tidelog.llm.shared import Marks, portable, staged, texts
+from tidelog.llm.shared import Marks, Scratch, portable, staged, texts
 
 SHINGLE = 5
 THRESHOLD = 80  # percent
@@ -105,7 +105,7 @@ def _set_rows(base: DataFrame, shingle: int) -> DataFrame:
     return base.mapInArrow(portable(run), f"doc_id {kind}, n bigint, set_id bigint, sketch binary")
 
 
-def _levels(base: DataFrame, shingle: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+def _levels(base: DataFrame, shingle: int, threshold: int, stage: Callable) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of frequent shingles and their level; any order is exact, this one keeps regions small.
 
     Counted over all texts, for somewhat more shingles than a window holds.
@@ -119,7 +119,7 @@ def _levels(base: DataFrame, shingle: int, threshold: int) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int32))], names=["bucket", "k"])
 
     counts = base.mapInArrow(portable(run), "bucket int, k int").groupBy("bucket").agg(F.sum("k").alias("k"))
-    counts = staged(counts.where(F.col("k") >= OFTEN), "shingle-counts")
+    counts = stage(counts.where(F.col("k") >= OFTEN), "shingle-counts")
     load = (counts.agg(F.sum("k")).first()[0] or 0) / (1 << BUCKET_BITS)
     level = F.least(F.lit(7), 1 + F.floor(F.log(F.col("k") / (OFTEN + 4 * load)) / F.log(F.lit(4.0)))).cast("int")
     hot = counts.where(F.col("k") >= OFTEN + 4 * load).select("bucket", level.alias("level")).toPandas()  # at most 2**24 rows of a bucket
@@ -271,13 +271,13 @@ def _edges(joined: DataFrame) -> DataFrame:
     return joined.where("set_id <> root").select(F.col("set_id").alias("a"), F.col("root").alias("b"))
 
 
-def _large_regions(members: DataFrame, sets: DataFrame, threshold: int, region_size: int) -> list[DataFrame]:
+def _large_regions(members: DataFrame, sets: DataFrame, threshold: int, region_size: int, stage: Callable) -> list[DataFrame]:
     """Links of regions above ``region_size``; members has pivot, set_id, size."""
     half = region_size // 2
     blocks = F.pmod(F.xxhash64("set_id"), F.ceil(F.col("size") / half))
-    cut = staged(members.withColumn("block", blocks), "large-regions")
+    cut = stage(members.withColumn("block", blocks), "large-regions")
     own = cut.join(sets, "set_id").select(F.xxhash64("pivot", "block").alias("group"), "set_id", F.col("set_id").alias("label"), "codes")
-    inner = staged(_join_groups(own, threshold), "block-links")
+    inner = stage(_join_groups(own, threshold), "block-links")
     local = cut.select("pivot", "set_id", "size", "block", F.xxhash64("pivot", "block").alias("group")).join(inner, ["group", "set_id"])
     roots = local.select("pivot", "root").distinct()
     many = roots.groupBy("pivot").agg(F.count("*").alias("roots"))
@@ -286,11 +286,11 @@ def _large_regions(members: DataFrame, sets: DataFrame, threshold: int, region_s
         .join(sets.withColumnRenamed("set_id", "root"), "root")
         .select(F.xxhash64("pivot", F.pmod(F.xxhash64("root"), F.ceil(F.col("roots") / region_size))).alias("group"), F.col("root").alias("set_id"), F.col("root").alias("label"), "codes")
     )
-    between = staged(_join_groups(meet, threshold), "root-links")
+    between = stage(_join_groups(meet, threshold), "root-links")
     links = _edges(inner).unionByName(_edges(between))
     # What is then not in the largest component of its region meets every block of it.
-    tops = connected_components(links).select(F.col("v").alias("root"), F.col("component").alias("top"))
-    known = staged(local.join(tops, "root", "left").select("pivot", "set_id", "size", "block", F.coalesce("top", "root").alias("label")), "region-labels")
+    tops = connected_components(links, stage).select(F.col("v").alias("root"), F.col("component").alias("top"))
+    known = stage(local.join(tops, "root", "left").select("pivot", "set_id", "size", "block", F.coalesce("top", "root").alias("label")), "region-labels")
     weight = known.groupBy("pivot", "label").agg(F.count("*").alias("k"))
     main = weight.groupBy("pivot").agg(F.max(F.struct("k", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("pivot", F.col("m.label").alias("main"))
     outside = known.join(main, "pivot").where("label <> main").select("pivot", "set_id", "label")
@@ -301,7 +301,7 @@ def _large_regions(members: DataFrame, sets: DataFrame, threshold: int, region_s
     asked = outside.join(pairs, ["pivot", "part"]).select(group, "set_id", "label")
     against = known.join(pairs, ["pivot", "block"]).select(group, "set_id", "label")
     last = asked.unionByName(against).distinct().join(sets, "set_id")
-    return [links, _edges(staged(_join_groups(last, threshold), "straggler-links"))]
+    return [links, _edges(stage(_join_groups(last, threshold), "straggler-links"))]
 
 
 def near_duplicates(
@@ -310,12 +310,13 @@ def near_duplicates(
     """doc_id, n_shingles and component_id of every document."""
     base = texts(docs, id_col, text_col).withColumn("dkey", F.xxhash64("doc_id"))
     # One row a document, kept in the shared folder: everything else hangs on it.
-    documents = staged(_set_rows(base, shingle), "shingle-sets")
+    scratch, early = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    documents = scratch.stage(_set_rows(base, shingle), "shingle-sets")
     filled = documents.where("n > 0 AND doc_id IS NOT NULL")
-    owners = staged(filled.groupBy("set_id").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "set-owners")
+    owners = scratch.stage(filled.groupBy("set_id").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "set-owners")
     known = base.where("doc_id IS NOT NULL")
-    hot = _levels(known, shingle, threshold)
-    shared = staged(
+    hot = _levels(known, shingle, threshold, early.stage)
+    shared = early.stage(
         _regions(known, shingle, threshold, hot, None)
         .groupBy("region")
         .agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"))
@@ -325,7 +326,7 @@ def near_duplicates(
     )
     entered = _regions(known, shingle, threshold, hot, Marks(shared, "region")).distinct()
     members = entered.join(shared, "region").select("pivot", "set_id").distinct()
-    members = staged(members.join(owners.select("set_id", "n", "sketch"), "set_id"), "region-members")
+    members = early.stage(members.join(owners.select("set_id", "n", "sketch"), "set_id"), "region-members")
     sizes = members.groupBy("pivot").agg(F.count("*").alias("size")).where("size > 1")
     sized = members.join(sizes, "pivot")
 
@@ -337,16 +338,17 @@ def near_duplicates(
                 yield from table.select(["pivot", "set_id"]).filter(pa.array(keep)).to_batches()
 
     small = sized.where(F.col("size") <= region_size).select("pivot", "set_id", "n", "sketch").repartition("pivot").sortWithinPartitions("pivot", "set_id")
-    small = staged(small.mapInArrow(portable(screen), "pivot bigint, set_id bigint"), "possible-members")
-    large = staged(sized.where(F.col("size") > region_size).select("pivot", "set_id", "size"), "large-members")
+    small = scratch.stage(small.mapInArrow(portable(screen), "pivot bigint, set_id bigint"), "possible-members")
+    large = scratch.stage(sized.where(F.col("size") > region_size).select("pivot", "set_id", "size"), "large-members")
+    early.clear()
     needed = small.select("set_id").unionByName(large.select("set_id")).distinct().join(owners.select("set_id", "owner"), "set_id")
-    needed = staged(needed.withColumn("dkey", F.xxhash64("owner")), "needed-sets")
+    needed = scratch.stage(needed.withColumn("dkey", F.xxhash64("owner")), "needed-sets")
     codes = _codes(known, shingle, Marks(needed, "dkey")).alias("c").join(needed.alias("o"), F.expr("c.set_id = o.set_id AND c.doc_id = o.owner"))
-    sets = staged(codes.select("c.set_id", "c.codes").dropDuplicates(["set_id"]), "set-codes")
+    sets = scratch.stage(codes.select("c.set_id", "c.codes").dropDuplicates(["set_id"]), "set-codes")
     groups = small.join(sets, "set_id").select(F.col("pivot").alias("group"), "set_id", F.col("set_id").alias("label"), "codes")
     links = _edges(_join_groups(groups, threshold))
     if not large.isEmpty():
-        for more in _large_regions(large, sets, threshold, region_size):
+        for more in _large_regions(large, sets, threshold, region_size, scratch.stage):
             links = links.unionByName(more)
     by_owner = owners.select("set_id", "owner")
     edges = (
@@ -355,8 +357,10 @@ def near_duplicates(
         .join(by_owner.select(F.col("set_id").alias("b"), F.col("owner").alias("ob")), "b")
         .select(F.col("oa").alias("a"), F.col("ob").alias("b"))
     )
-    found = connected_components(edges)
+    found = connected_components(edges, scratch.stage)
     classes = owners.join(found, F.col("owner") == F.col("v"), "left").select("set_id", F.coalesce("component", "owner").alias("component_id"))
     linked = filled.join(classes, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = documents.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    out = staged(linked.unionByName(alone), "near-duplicates")
+    scratch.clear()
+    return out

@@ -12,11 +12,12 @@ and count for none; rows that share a doc_id count as one document; an empty tab
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import staged, texts
+from tidelog.llm.shared import Scratch, staged, texts
 
 FANOUT = 3
 BATCHES = 4
@@ -45,8 +46,8 @@ def key_hashes(text: Column, min_chars: int) -> Column:
 class SortedRuns:
     """The levelled runs of one corpus in the shared folder."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, stage: Callable = staged):
+        self.spark, self.fanout, self.stage = spark, fanout, stage
         self.levels: list[list[DataFrame]] = []
 
     def merged(self) -> DataFrame | None:
@@ -69,7 +70,7 @@ class SortedRuns:
     def _push(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(staged(run.sortWithinPartitions("h1", "h2"), f"line-run-{level}"))
+        self.levels[level].append(self.stage(run.sortWithinPartitions("h1", "h2"), f"line-run-{level}"))
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._push(level + 1, _merge(full))
@@ -84,7 +85,8 @@ def _merge(runs: list[DataFrame]) -> DataFrame:
 
 def repeated_lines(base: DataFrame, min_chars: int, min_docs: int, batches: int) -> DataFrame:
     """doc_id and ``gone``, the hashes of the lines that the document loses, where there are any."""
-    held = staged(
+    scratch = Scratch(base.sparkSession)
+    held = scratch.stage(
         base.where("doc_id IS NOT NULL")
         .select("doc_id", F.explode(key_hashes(F.col("text"), min_chars)).alias("k"))
         .select("doc_id", "k.h1", "k.h2")
@@ -94,7 +96,7 @@ def repeated_lines(base: DataFrame, min_chars: int, min_docs: int, batches: int)
     steps = [i / batches for i in range(1, batches)]
     cuts = held.agg(F.percentile_approx("doc_id", steps)).first()[0] or []
     edges = [None, *sorted(set(cuts)), None]
-    runs = SortedRuns(base.sparkSession)
+    runs = SortedRuns(base.sparkSession, stage=scratch.stage)
     for low, high in reversed(list(zip(edges, edges[1:]))):
         part = held
         if low is not None:
@@ -103,12 +105,15 @@ def repeated_lines(base: DataFrame, min_chars: int, min_docs: int, batches: int)
             part = part.where(F.col("doc_id") <= F.lit(high))
         runs.add(part)
     repeated = runs.merged().where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
-    return (
+    lost = staged(
         held.join(repeated, ["h1", "h2"])
         .where("doc_id < keeper")
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("h1", "h2")).alias("gone"))
+        .agg(F.collect_list(F.struct("h1", "h2")).alias("gone")),
+        "lost-lines",
     )
+    scratch.clear()
+    return lost
 
 
 def _kept(text: Column, gone: Column, min_chars: int) -> Column:

@@ -7,12 +7,12 @@ from pathlib import Path
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.session import staged, work_dir
 
-__all__ = ["staged", "work_dir", "texts", "portable", "Marks"]
+__all__ = ["staged", "work_dir", "texts", "portable", "Marks", "Scratch"]
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,6 +20,25 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+class Scratch:
+    """Written tables that are deleted together, once what was made of them is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = work_dir(self.spark, name)
+        df.write.mode("error").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        self.paths = []
+
+
 class Marks:
     """A bitmap of 64-bit keys that never misses one; its size is bounded whatever their number.
 

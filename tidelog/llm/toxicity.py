@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import text as tx
 from tidelog.llm.encoding import HashIndex
-from tidelog.llm.shared import portable, staged, texts
+from tidelog.llm.shared import Scratch, portable, texts
 
 SAMPLE = 8_000
 VOCABULARY = 1024
@@ -145,10 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     )
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # At most ``sample`` rows of an id and a number: the broadcast is bounded.
-    taken = staged(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"), "toxic-sample")
+    scratch = Scratch(docs.sparkSession)
+    taken = scratch.stage(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"), "toxic-sample")
     sizes = {r.y: r.d for r in taken.groupBy("y").agg(F.count("*").alias("d")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
+        scratch.clear()
         return None
     a, b = F.col("a") + 0.5, F.col("d") - F.col("a") + 0.5
     odds = F.log(a / (toxic + 1.0 - a)) - F.log(b / (clean + 1.0 - b))
@@ -163,6 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     features = np.array([r.feature for r in top], np.int64).view(np.uint64)
     odds_of = np.array([r.odds for r in top])
     rows = sorted(_cells(taken, features).collect(), key=lambda r: (r.doc_id, r.n))
+    scratch.clear()
     y, n = np.array([r.y for r in rows]), np.array([r.n for r in rows], float)
     at = np.repeat(np.arange(len(rows)), [len(r.cols) for r in rows])
     cols = np.array([c for r in rows for c in r.cols], np.int64)
