@@ -117,21 +117,20 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated = bool(sizes.where("rows > 1").limit(1).count())
     links = successors(sizes.select("doc_id")).join(sizes.select("doc_id", "need"), "doc_id")
     asked = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asker"), "need")
-    trees = base.withColumn("leaves", leaf_hashes(F.col("text")))
-    sources = trees.where("doc_id IS NOT NULL")
-    if repeated:
-        sources = sources.groupBy("doc_id").agg(F.min(F.struct("text", "leaves")).alias("s")).select("doc_id", "s.text", "s.leaves")
+    # Both joins read the same rows by doc_id, so that texts are shuffled once.
+    named = base.where("doc_id IS NOT NULL")
+    sources = named.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else named
     heads = sources.join(asked, "doc_id").select(
-        F.col("asker").alias("doc_id"), F.expr("substring(text, 1, need)").alias("head"), F.col("leaves").alias("next_leaves")
+        F.col("asker").alias("doc_id"), F.expr("substring(text, 1, need)").alias("head"), leaf_hashes(F.col("text")).alias("next_leaves")
     )
+    nameless = base.where("doc_id IS NULL").select("doc_id", "text", F.lit("").alias("head"), F.lit(None).cast("array<bigint>").alias("next_leaves"))
     joined = (
-        trees.join(heads, "doc_id", "left")
+        named.join(heads, "doc_id")
+        .unionByName(nameless)
         .withColumn("n_chars", F.char_length("text").cast("long"))
         .withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
-        .withColumn(
-            "edited",
-            F.expr("concat(substring(text, 1, CAST(n_chars AS INT) - cut), substring(coalesce(head, ''), 1, cut))"),
-        )
+        .withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars AS INT) - cut), substring(head, 1, cut))"))
+        .withColumns({"leaves": leaf_hashes(F.col("text")), "edited_leaves": leaf_hashes(F.col("edited"))})
     )
     none = F.array().cast("array<bigint>")
     return joined.select(
@@ -140,6 +139,6 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("text")).alias("fingerprint"),
         fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("leaves"), leaf_hashes(F.col("edited"))).alias("near_edited"),
+        likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
         likeness(F.col("leaves"), F.coalesce("next_leaves", none)).alias("near_next"),
     )
