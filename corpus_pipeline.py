@@ -30,7 +30,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Documents without an id link nothing and stay; of rows with equal doc_id and text one stays.
     """
     found = jaccard_join.near_duplicates(docs).where("doc_id IS NOT NULL")
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    # Written, so that Spark knows its size before it shuffles the documents for the join.
+    gone = staged(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
     kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
     twice = found.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__twice"))
     if twice.isEmpty():
@@ -42,7 +43,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = staged(found.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
 
 
