@@ -27,6 +27,7 @@ from tidelog.llm import text as tx
 from tidelog.llm.shared import Scratch, portable, staged, texts
 
 WINDOW = 10
+SEGMENT = 1 << 21  # bytes of text in a segment: each names its terms once
 BLOCK = 20_000  # windows that go to the executors at a time: at most 10 * 8 * 20,000 bytes of hashes
 GAP = 128  # positions left free between documents; windows and slop stay below it
 CANDIDATES = 1 << 20
@@ -43,7 +44,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in tx.text_chunks(batches):
+        for rows, data, offsets in tx.text_chunks(batches, limit=SEGMENT):
             terms, first = _word_hashes(data, offsets)
             counts = np.diff(first)
             place = np.arange(len(terms)) + np.repeat(np.arange(len(counts)) * GAP, counts)
