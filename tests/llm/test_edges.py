@@ -189,6 +189,18 @@ def test_fingerprints(docs, rows, none):
     assert fingerprints.compare_with_edits(none).count() == 0
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 50])
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_next_document_over_ranges(spark, ranges, kind):
+    rows = [(k if kind == "int" else f"{k:03}", None if k % 7 == 0 else f"text {k}. " * (k % 5) + "end") for k in range(40)]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4)
+    got = fingerprints.compare_with_edits(docs, ranges=ranges).select("doc_id", "n_chars", "edited_sha256").collect()
+    texts = [t or "" for _, t in rows]
+    same(got, [(d, len(t or ""), brute.sha(brute.edited(t or "", n))) for (d, t), n in zip(rows, [*texts[1:], texts[0]])])
+    alone = fingerprints.compare_with_edits(docs.where(docs.doc_id == rows[3][0]), ranges=ranges).collect()
+    assert [(r.doc_id, r.near_next) for r in alone] == [(rows[3][0], 1.0)]
+
+
 def test_changed_paragraphs(spark):
     lines = [f"line {k}" for k in range(30)]
     other = [*lines[:11], "changed", *lines[12:], "new"]

@@ -102,35 +102,64 @@ def successors(ids: DataFrame) -> DataFrame:
     return ranked.withColumn("after", lead).join(follow, "part").select("doc_id", F.coalesce("after", "follow").alias("next_id"))
 
 
-def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def range_starts(ids: DataFrame, ranges: int) -> list:
+    """First ids of at most ``ranges`` ranges of distinct ids, ascending; a bounded list whatever the table."""
+    firsts = ids.repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("first"))
+    return sorted(r.first for r in firsts.select("first").collect())
+
+
+def _next_in_range(named: DataFrame, starts: list) -> DataFrame:
+    """doc_id, text, head and next_leaves, for ids that do not repeat: texts are shuffled once.
+
+    A range of ids is a partition; the first document of each also goes, as a guest, behind the
+    last one of the range before (of the first range: behind the last range).
+    """
+    bounds = F.array(*map(F.lit, starts)).cast(f"array<{named.schema['doc_id'].dataType.simpleString()}>")
+    part = F.size(F.filter(bounds, lambda b: b <= F.col("doc_id"))) - 1
+    before = F.pmod(part + len(starts) - 1, F.lit(len(starts)))
+    own, guest = (F.struct(p.cast("int").alias("part"), F.lit(g).alias("guest")) for p, g in ((part, False), (before, True)))
+    places = F.when(F.array_contains(bounds, F.col("doc_id")), F.array(own, guest)).otherwise(F.array(own))
+    placed = named.select("doc_id", "text", F.inline(places)).repartitionById(len(starts), F.col("part"))
+    order = Window.partitionBy("part").orderBy("guest", "doc_id")
+    follow = placed.withColumn("leaves", leaf_hashes(F.col("text"))).select(
+        "doc_id", "text", "guest", "leaves", F.lead("text").over(order).alias("head"), F.lead("leaves").over(order).alias("next_leaves")
+    )
+    return follow.where("NOT guest").drop("guest")
+
+
+def _next_by_join(named: DataFrame, ids: DataFrame) -> DataFrame:
+    """The same where ids repeat: a document's text goes to all rows of the id before; joins can be split where one id is hot."""
+    sizes = staged(named.groupBy("doc_id").agg(F.max(F.floor(F.char_length("text") / 4)).cast("int").alias("need")), "doc-sizes")
+    links = successors(ids.select("doc_id")).join(sizes, "doc_id")
+    asked = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asker"), "need")
+    heads = named.groupBy("doc_id").agg(F.min("text").alias("text")).join(asked, "doc_id").select(
+        F.col("asker").alias("doc_id"), F.expr("substring(text, 1, need)").alias("head"), leaf_hashes(F.col("text")).alias("next_leaves")
+    )
+    return named.join(heads, "doc_id").select("doc_id", "text", leaf_hashes(F.col("text")).alias("leaves"), "head", "next_leaves")
+
+
+def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, and likeness to that and to the next document.
 
     The edited text has the last quarter of the characters replaced by as many of the next document.
+    ``ranges`` of ids are worked on one by one, as many as there are shuffle partitions if not given.
     """
     base = texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    sizes = staged(
-        base.where("doc_id IS NOT NULL")
-        .groupBy("doc_id")
-        .agg(F.max(F.floor(F.char_length("text") / 4)).cast("int").alias("need"), F.count("*").alias("rows")),
-        "doc-sizes",
-    )
-    repeated = bool(sizes.where("rows > 1").limit(1).count())
-    links = successors(sizes.select("doc_id")).join(sizes.select("doc_id", "need"), "doc_id")
-    asked = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asker"), "need")
-    # Both joins read the same rows by doc_id, so that texts are shuffled once.
     named = base.where("doc_id IS NOT NULL")
-    sources = named.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else named
-    heads = sources.join(asked, "doc_id").select(
-        F.col("asker").alias("doc_id"), F.expr("substring(text, 1, need)").alias("head"), leaf_hashes(F.col("text")).alias("next_leaves")
+    ids = staged(named.groupBy("doc_id").agg(F.count("*").alias("rows")), "doc-ids")
+    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    starts = range_starts(ids, ranges)
+    single = bool(starts) and ids.where("rows > 1").isEmpty()
+    follow = _next_in_range(named, starts) if single else _next_by_join(named, ids)
+    nameless = base.where("doc_id IS NULL").select(
+        "doc_id", "text", leaf_hashes(F.col("text")).alias("leaves"), F.lit("").alias("head"), F.lit(None).cast("array<bigint>").alias("next_leaves")
     )
-    nameless = base.where("doc_id IS NULL").select("doc_id", "text", F.lit("").alias("head"), F.lit(None).cast("array<bigint>").alias("next_leaves"))
     joined = (
-        named.join(heads, "doc_id")
-        .unionByName(nameless)
+        follow.unionByName(nameless)
         .withColumn("n_chars", F.char_length("text").cast("long"))
         .withColumn("cut", F.floor(F.col("n_chars") / 4).cast("int"))
         .withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars AS INT) - cut), substring(head, 1, cut))"))
-        .withColumns({"leaves": leaf_hashes(F.col("text")), "edited_leaves": leaf_hashes(F.col("edited"))})
+        .withColumn("edited_leaves", leaf_hashes(F.col("edited")))
     )
     none = F.array().cast("array<bigint>")
     return joined.select(
