@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from tidelog.llm.shared import staged
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one edge only and to a vertex that is no u itself; then v is the component of u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    seen = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 OR (up > 0 AND down > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, stage: Callable = staged) -> DataFrame:
     """v and the smallest vertex it reaches, for edges (a, b); vertices without an edge do not appear.
 
@@ -17,7 +25,7 @@ def connected_components(edges: DataFrame, stage: Callable = staged) -> DataFram
     the number of rounds grows with the logarithm of the longest chain.
     """
     now = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while True:
+    while not are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         smallest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -25,7 +33,5 @@ def connected_components(edges: DataFrame, stage: Callable = staged) -> DataFram
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(lowest, "u")
         small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = stage(small, "small-star")
-        if after.count() == now.count() and after.exceptAll(now).isEmpty():
-            return after.select(F.col("u").alias("v"), F.col("v").alias("component"))
-        now = after
+        now = stage(small, "small-star")
+    return now.select(F.col("u").alias("v"), F.col("v").alias("component"))
