@@ -57,6 +57,14 @@ def test_a_batch_run_again_leaves_one_copy(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 15
 
 
+def test_a_new_checkpoint_leaves_old_rows(spark, tmp_path):
+    for k, n in ((0, 10), (1, 5)):
+        spark.range(n).write.parquet(str(tmp_path / f"in{k}"))
+        stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / f"in{k}"))
+        jobs.append_to(stream, str(tmp_path / "t"), str(tmp_path / f"cp{k}"), available_now=True).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 15
+
+
 def test_state_stream_uses_a_state_store_that_spills(spark, sf_dir, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     try:

@@ -201,12 +201,25 @@ def with_cdc_columns(rows: DataFrame, version: Column, extracted_at: Column) ->
     )
 
 
+def unroutable(messages: DataFrame) -> DataFrame:
+    """Messages of a table that nothing takes, as dead letters."""
+    text = F.concat(F.lit("No table for topic "), F.coalesce("topic", F.lit("NULL")))
+    return messages.withColumns(_context_headers("ROUTING", F.lit("UnknownTableException"), text)).select(
+        "topic", "part", "off", "msg_key", "value", "headers",
+        F.array().cast("array<string>").alias("problematic_fields"), F.lit(0).alias("attempt"),
+    )
+
+
 def _failure_columns(stage: str = "VALUE_CONVERTER") -> dict[str, Column]:
     fields = F.concat_ws(", ", F.transform("_problems", lambda c: F.concat(F.lit("field '"), c, F.lit("'"))))
     message = F.when(F.col("_corrupt_record").isNotNull(), F.lit("Cannot convert message: invalid JSON")).otherwise(
         F.concat(F.lit("Cannot convert value of "), fields)
     )
     kind = F.when(F.col("_corrupt_record").isNotNull(), F.lit("JsonParseException")).otherwise(F.lit("DataException"))
+    return _context_headers(stage, kind, message)
+
+
+def _context_headers(stage: str, kind: Column, message: Column) -> dict[str, Column]:
     pairs = [
         ("topic", F.col("topic")),
         ("partition", F.col("part").cast("string")),

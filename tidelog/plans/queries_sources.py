@@ -150,6 +150,61 @@ def append_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(failed)
 
 
+TABLE_TYPES = {
+    "customer": {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int"},
+    "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int"},
+    "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
+}
+
+
+def table_messages(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """One create event for each row of a table; rows whose key divides by 11 hold text where a number belongs."""
+    rows = load(spark, sf_dir, name)
+    columns = [F.when(F.col(key) % 11 == 0, F.lit("x")).otherwise(F.col(c).cast("string")).alias(c) if c.endswith("nationkey") and c != key else F.col(c) for c in rows.columns[:4]]
+    source = F.struct(F.lit("bin.000001").alias("file"), F.col(key).cast("bigint").alias("pos"))
+    value = F.to_json(F.struct(F.struct(*columns).alias("after"), source.alias("source"), F.lit("c").alias("op")))
+    return rows.select(
+        F.lit(f"mysql.shop.{name}").alias("topic"), F.lit(0).cast("bigint").alias("part"), F.col(key).cast("bigint").alias("off"),
+        F.col(key).cast("string").alias("msg_key"), value.alias("value"),
+    )
+
+
+@query(
+    "a06_replicate_tables",
+    """
+    SELECT 'customer' AS sink, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS key_sum, max(c_name) AS last_name, CAST(sum(c_nationkey) AS BIGINT) AS place_sum
+    FROM customer WHERE c_custkey % 11 <> 0
+    UNION ALL SELECT 'supplier', count(*), CAST(sum(s_suppkey) AS BIGINT), max(s_name), CAST(sum(s_nationkey) AS BIGINT) FROM supplier WHERE s_suppkey % 11 <> 0
+    UNION ALL SELECT 'nation', count(*), CAST(sum(n_nationkey) AS BIGINT), max(n_name), CAST(sum(n_regionkey) AS BIGINT) FROM nation
+    UNION ALL SELECT 'failed ' || topic, count(*), CAST(sum(k) AS BIGINT), NULL, NULL FROM (
+      SELECT 'mysql.shop.customer' AS topic, c_custkey AS k FROM customer WHERE c_custkey % 11 = 0
+      UNION ALL SELECT 'mysql.shop.supplier', s_suppkey FROM supplier WHERE s_suppkey % 11 = 0
+      UNION ALL SELECT 'mysql.shop.region', r_regionkey FROM region) f GROUP BY topic""",
+)
+def replicate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four topics in one stream: three tables with columns of their own, and one that nothing takes."""
+    topic, root, dlq = work_dir(spark, "topics"), work_dir(spark, "tables"), work_dir(spark, "dead-letters")
+    keys = {"customer": "c_custkey", "supplier": "s_suppkey", "nation": "n_nationkey"}
+    for name, key in (keys | {"region": "r_regionkey"}).items():
+        table_messages(spark, sf_dir, name, key).write.mode("append").json(topic)
+    stream = read.read_changes(spark, PATTERN, path=topic)
+    jobs.replicate_tables(
+        stream, TABLE_TYPES, root, dlq, work_dir(spark, "checkpoint"), required={n: [k] for n, k in keys.items()}, available_now=True
+    ).awaitTermination()
+    out = written(spark, dlq).groupBy(F.concat(F.lit("failed "), "topic").alias("sink")).agg(
+        F.count("*").alias("n"), F.sum("off").alias("key_sum"), F.lit(None).cast("string").alias("last_name"), F.lit(None).cast("bigint").alias("place_sum")
+    )
+    for name, types in TABLE_TYPES.items():
+        key, label, place = types
+        out = out.unionByName(
+            written(spark, f"{root}/{name}").agg(
+                F.lit(name).alias("sink"), F.count("*").alias("n"), F.sum(key).cast("bigint").alias("key_sum"),
+                F.max(label).alias("last_name"), F.sum(place).cast("bigint").alias("place_sum"),
+            )
+        )
+    return out
+
+
 @query("a07_upsert", f"SELECT {_SHOW} FROM ({_LATEST_ORDERS}) s WHERE _is_deleted = 0")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot table by order month; the changes are applied in place."""

@@ -36,20 +36,29 @@ def write_table(
     writer.parquet(path)
 
 
-def append_versions(batch: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:
-    """Append every change of a batch as a new row under ``batch_id=<n>``.
+def stream_id(batch: DataFrame) -> str | None:
+    """Id of the streaming query that delivers a batch; it lives in the checkpoint and survives restarts."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
+def append_versions(
+    batch: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = (), stream: str | None = None
+) -> None:
+    """Append every change of a batch as a new row under ``batch_id=<n>``, below ``stream=<id>`` if given.
 
     The folder of a batch is replaced as a whole, so a batch that is delivered again after a
-    failure leaves the same rows: at-least-once delivery, exactly-once content.
+    failure leaves the same rows: at-least-once delivery, exactly-once content. Batch numbers start
+    again with a new checkpoint: with the id of the stream, its rows are added to those there are.
     """
-    write_table(batch, f"{path.rstrip('/')}/batch_id={batch_id}", partition_by)
+    folder = path.rstrip("/") + (f"/stream={stream}" if stream else "")
+    write_table(batch, f"{folder}/batch_id={batch_id}", partition_by)
 
 
 def idempotent_sink(path: str, partition_by: Sequence[str] = ()):
     """``foreachBatch`` function that appends each batch with ``append_versions``."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_versions(batch, path, batch_id, partition_by)
+        append_versions(batch, path, batch_id, partition_by, stream_id(batch))
 
     return write
 

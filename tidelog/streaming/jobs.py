@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from tidelog.model import VERSION
 from tidelog.operators import events as ev
-from tidelog.sources.write import append_versions
+from tidelog.sources.write import append_versions, idempotent_sink, stream_id
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -38,21 +40,66 @@ def replicate(
     """Messages to a versioned table, failures to a dead-letter table, both once per batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parsed = ev.parse_envelope(ev.handle_tombstones(batch), types)
-        rows = ev.normalise_values(ev.unwrap(parsed), types)
-        stamped = ev.with_cdc_columns(rows, ev.version_number(version), F.current_timestamp())
-        stamped = stamped.persist()
+        stamped, stream = _typed(ev.handle_tombstones(batch), types, version).persist(), stream_id(batch)
         try:
             ok, dlq = ev.split_valid(stamped, required)
-            columns = [*types, "op", "part", "off", "_version", "_is_deleted", "_extracted_at"]
-            append_versions(ok.select(*columns), table_path, batch_id, partition_by)
-            append_versions(dlq, dlq_path, batch_id)
+            append_versions(ok.select(*_log_columns(types)), table_path, batch_id, partition_by, stream)
+            append_versions(dlq, dlq_path, batch_id, stream=stream)
         finally:
             stamped.unpersist()
 
     return _start(messages.writeStream.foreachBatch(write), checkpoint, **when)
 
 
+def replicate_tables(
+    messages: DataFrame,
+    tables: Mapping[str, Mapping[str, str]],
+    root: str,
+    dlq_path: str,
+    checkpoint: str,
+    required: Mapping[str, Sequence[str]] | None = None,
+    version: str = "position",
+    partition_by: Mapping[str, Sequence[str]] | None = None,
+    **when,
+) -> StreamingQuery:
+    """Messages of many tables, each routed by its topic, typed by its own columns and appended below ``root``.
+
+    ``tables`` gives the column types by table name. Messages of other topics, or of none, become
+    dead letters together with the rows that fail. A batch writes the tables it has messages of.
+    """
+    required, partition_by = required or {}, partition_by or {}
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        stream = stream_id(batch)
+        routed = ev.route_topic(ev.handle_tombstones(batch)).persist()
+        known = F.coalesce(F.col("table_name").isin(*tables), F.lit(False))
+        held, failures = [routed], [ev.unroutable(routed.where(~known))]
+        try:
+            present = {r[0] for r in routed.where(known).select("table_name").distinct().collect()}  # names of given tables
+            for name in sorted(present):
+                mine = routed.where(F.col("table_name") == name).drop("table_name")
+                stamped = _typed(mine, tables[name], version).persist()
+                held.append(stamped)
+                ok, dlq = ev.split_valid(stamped, required.get(name, ()))
+                append_versions(ok.select(*_log_columns(tables[name])), f"{root.rstrip('/')}/{name}", batch_id, partition_by.get(name, ()), stream)
+                failures.append(dlq)
+            append_versions(reduce(DataFrame.unionByName, failures), dlq_path, batch_id, stream=stream)
+        finally:
+            for df in held:
+                df.unpersist()
+
+    return _start(messages.writeStream.foreachBatch(write), checkpoint, **when)
+
+
+def _typed(messages: DataFrame, types: Mapping[str, str], version: str) -> DataFrame:
+    rows = ev.normalise_values(ev.unwrap(ev.parse_envelope(messages, types)), types)
+    return ev.with_cdc_columns(rows, ev.version_number(version), F.current_timestamp())
+
+
+def _log_columns(types: Mapping[str, str]) -> list[str]:
+    return [*types, "op", "part", "off", VERSION, "_is_deleted", "_extracted_at"]
+
+
 def stream_state(
     changes: DataFrame, keys: Sequence[str], version: Sequence[str], path: str, checkpoint: str, **when
 ) -> StreamingQuery:
@@ -69,19 +116,20 @@ def stream_state(
         .agg(F.max_by(F.struct(*values), F.struct(*version)).alias("_row"))
         .select(*keys, "_row.*")
     )
-    writer = state.writeStream.outputMode("update").foreachBatch(
-        lambda batch, batch_id: append_versions(batch, path, batch_id)
-    )
+    writer = state.writeStream.outputMode("update").foreachBatch(idempotent_sink(path))
     return _start(writer, checkpoint, **when)
 
 
-def read_state(spark, path: str, keys: Sequence[str]) -> DataFrame:
-    """Newest written row per key."""
+def read_state(spark, path: str, keys: Sequence[str], version: Sequence[str] = ()) -> DataFrame:
+    """Newest written row per key: by ``version``, then by batch.
+
+    Batch numbers start again with a new checkpoint; name the version where there was more than one.
+    """
     log = spark.read.parquet(path)
-    values = [c for c in log.columns if c not in (*keys, "batch_id")]
+    values = [c for c in log.columns if c not in (*keys, "batch_id", "stream")]
     return (
         log.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), "batch_id").alias("_row"))
+        .agg(F.max_by(F.struct(*values), F.struct(*version, "batch_id")).alias("_row"))
         .select(*keys, "_row.*")
     )
 
@@ -116,9 +164,5 @@ def _start(writer: DataStreamWriter, checkpoint: str, **when) -> StreamingQuery:
 
 def append_to(stream: DataFrame, path: str, checkpoint: str, **when) -> StreamingQuery:
     """Append-mode stream to a table, one folder per batch."""
-    writer = stream.writeStream.outputMode("append").foreachBatch(
-        lambda batch, batch_id: append_versions(batch, path, batch_id)
-    )
+    writer = stream.writeStream.outputMode("append").foreachBatch(idempotent_sink(path))
     return _start(writer, checkpoint, **when)
-
-
