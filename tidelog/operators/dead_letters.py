@@ -146,7 +146,12 @@ def confirm_schema(errors: DataFrame, tables: DataFrame) -> DataFrame:
     return there.select(F.concat_ws(".", "table_name", "field").alias("table_field"), "n", "first_message")
 
 
-def dlq_tables(errors: DataFrame, top: int = 20) -> DataFrame:
+def first_rows(report: DataFrame, top: int | None) -> DataFrame:
+    """The first ``top`` rows of a sorted report, all of them if no limit is given."""
+    return report if top is None else report.limit(top)
+
+
+def dlq_tables(errors: DataFrame, top: int | None = None) -> DataFrame:
     """Tables with most classified errors and their most common category (ties: found first)."""
     per = known(errors).groupBy("table_name", "category").agg(
         F.count("*").alias("n"), F.min(F.struct(*ORDER)).alias("_first")
@@ -154,13 +159,13 @@ def dlq_tables(errors: DataFrame, top: int = 20) -> DataFrame:
     # one row per table and category is left here; the earliest record breaks ties
     order = F.struct("n", -F.col("_first.part"), -F.col("_first.off"))
     out = per.groupBy("table_name").agg(F.sum("n").alias("n_errors"), F.max_by("category", order).alias("primary_category"))
-    return out.orderBy(F.col("n_errors").desc(), "table_name").limit(top)
+    return first_rows(out.orderBy(F.col("n_errors").desc(), "table_name"), top)
 
 
-def dlq_fields_top(errors: DataFrame, top: int = 20) -> DataFrame:
+def dlq_fields_top(errors: DataFrame, top: int | None = None) -> DataFrame:
     """Fields named most often by classified errors."""
     fields = known(errors).select(F.explode("problematic_fields").alias("field"))
-    return fields.groupBy("field").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "field").limit(top)
+    return first_rows(fields.groupBy("field").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "field"), top)
 
 
 def root_causes(errors: DataFrame, samples: int = 3) -> DataFrame:
@@ -285,11 +290,11 @@ def extrapolate(sample: DataFrame, total_rows: Column, by: Sequence[str] = ("tab
     return counts.withColumn("n_estimated", estimate)
 
 
-def dlq_share(errors: DataFrame, top: int = 50) -> DataFrame:
+def dlq_share(errors: DataFrame, top: int | None = None) -> DataFrame:
     """Records per table and share of all, largest first."""
     counts = errors.groupBy("table_name").agg(F.count("*").alias("n"))
     shares = counts.withColumn("share", percent(F.col("n"), total(counts, F.sum("n")), 2))
-    return shares.orderBy(F.col("n").desc(), "table_name").limit(top)
+    return first_rows(shares.orderBy(F.col("n").desc(), "table_name"), top)
 
 
 def dlq_bands(dlq: DataFrame, source_rows: Column) -> DataFrame:

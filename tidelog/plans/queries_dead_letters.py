@@ -187,7 +187,7 @@ def confirm_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
         GROUP BY k.table_name ORDER BY n_errors DESC, k.table_name LIMIT 20""",
 )
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dl.dlq_tables(errors(spark, sf_dir))
+    return dl.dlq_tables(errors(spark, sf_dir), top=20)
 
 
 @query(
@@ -196,7 +196,7 @@ def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         GROUP BY field ORDER BY n DESC, field LIMIT 20""",
 )
 def fields_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dl.dlq_fields_top(errors(spark, sf_dir))
+    return dl.dlq_fields_top(errors(spark, sf_dir), top=20)
 
 
 _CAUSES = f"""{_ERRORS},
@@ -340,7 +340,7 @@ def extrapolate(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM ({_PARSED}) p GROUP BY table_name ORDER BY n DESC, table_name LIMIT 50""",
 )
 def share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dl.dlq_share(dl.dlq_table(dl.parse_dlq(letters(spark, sf_dir))))
+    return dl.dlq_share(dl.dlq_table(dl.parse_dlq(letters(spark, sf_dir))), top=50)
 
 
 @query(

@@ -152,11 +152,11 @@ _BREAKDOWN = f"""
     SELECT t.*, d.n AS dlq_rows, greatest(missing_rows - d.n, 0) AS in_transit,
            {percent_sql("d.n", "source_rows", 4)} AS dlq_percent,
            {percent_sql("greatest(missing_rows - d.n, 0)", "source_rows", 4)} AS transit_percent
-    FROM ({_TOTALS}) t, (SELECT count(*) AS n FROM dead_letters WHERE h_class = 'SQLException') d"""
+    FROM ({_TOTALS}) t, (SELECT count(*) AS n FROM dead_letters) d"""
 
 
 def breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = load(spark, sf_dir, "dead_letters").where("h_class = 'SQLException'")
+    failed = load(spark, sf_dir, "dead_letters")
     return ql.missing_breakdown(ql.sync_totals(counts(spark, sf_dir)), failed)
 
 

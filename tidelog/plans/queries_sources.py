@@ -85,11 +85,11 @@ def read_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT h_topic AS topic, table_name, count(*) AS n FROM (
       SELECT h_topic, CASE WHEN h_topic LIKE 'mysql.shop.%' THEN substr(h_topic, 12) ELSE h_topic END AS table_name
-      FROM dead_letters WHERE h_topic IS NOT NULL) t
+      FROM dead_letters) t
     GROUP BY h_topic, table_name""",
 )
 def route_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    topics = load(spark, sf_dir, "dead_letters").where("h_topic IS NOT NULL").select(F.col("h_topic").alias("topic"))
+    topics = load(spark, sf_dir, "dead_letters").select(F.col("h_topic").alias("topic"))
     return ev.route_topic(topics).groupBy("topic", "table_name").agg(F.count("*").alias("n"))
 
 
