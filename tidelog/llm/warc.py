@@ -124,12 +124,15 @@ def write_warc(
     folder = folder or work_dir(pages.sparkSession, "warc")
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("sha", F.sha1("html"))
-    firsts = base.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha").agg(F.min("page_id").alias("first_id"))
-    numbers = numbered(base.where("page_id IS NOT NULL").select("page_id"))
+    # Numbers and first pages are found over ids and digests; payloads meet them in one join.
+    keys = base.select("page_id", "sha", (F.octet_length("html") >= min_bytes).alias("counts")).distinct()
+    firsts = keys.where("counts AND page_id IS NOT NULL").groupBy("sha").agg(F.min("page_id").alias("first_id"))
+    numbers = numbered(keys.where("page_id IS NOT NULL").select("page_id"))
+    places = keys.join(firsts, "sha", "left").join(numbers, "page_id", "left")
+    places = staged(places.select(F.col("page_id").alias("__id"), F.col("sha").alias("__sha"), "first_id", "number"), "page-places")
     spread = -1 - F.pmod(F.xxhash64("html", "url"), F.lit(64))  # pages without an id
     rows = (
-        base.join(firsts, "sha", "left")
-        .join(numbers, "page_id", "left")
+        base.join(places, F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha")), "left")
         .select(
             F.coalesce(F.floor(F.col("number") / shard_records), spread).cast("bigint").alias("shard"),
             "page_id",
