@@ -1,7 +1,7 @@
 """Benchmark decontamination through a positional inverted index (operator 1).
 
 ``build_index`` stores the token postings of the training texts in the shared folder, in segments
-of bounded size: sorted term hashes and, for each term, the ascending word positions. ``search``
+of bounded size, each under an id of its own: sorted term hashes and, for each term, the ascending word positions. ``search``
 takes the benchmark windows in blocks; in each segment it starts from the rarest term of a window
 and intersects the offset-adjusted lists of the others, exactly (phrase) or within ``slop`` words of
 the expected place (proximity). Nothing is shuffled: a hot word is one list in each segment.
@@ -16,6 +16,7 @@ empty corpus gives no rows; rows that repeat a document each get their own resul
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,12 +60,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     tx.binary([ordered[head]]),
                     tx.binary([head.astype(np.int32)]),
                     tx.binary([place[order].astype(np.int32)]),
+                    pa.array([uuid.uuid4().bytes], pa.binary()),  # fixed once written; equal segments keep apart
                 ],
-                names=["doc_ids", "counts", "terms", "heads", "places"],
+                names=["doc_ids", "counts", "terms", "heads", "places", "segment"],
             )
 
     return stage(
-        base.mapInArrow(portable(segments), f"doc_ids array<{kind}>, counts binary, terms binary, heads binary, places binary"),
+        base.mapInArrow(portable(segments), f"doc_ids array<{kind}>, counts binary, terms binary, heads binary, places binary, segment binary"),
         "postings",
     )
 
@@ -187,13 +189,13 @@ def _finder(block: list, slop: int, every: bool):
         for batch in batches:
             for k in range(batch.num_rows):
                 ids = batch.column(0).slice(k, 1).flatten()
-                counts, terms, heads, places = (batch.column(c)[k].as_py() for c in range(1, 5))
-                yield _found(ids, np.frombuffer(counts, np.int32).astype(np.int64), _Postings(terms, heads, places), sets, slop, every)
+                counts, terms, heads, places, segment = (batch.column(c)[k].as_py() for c in range(1, 6))
+                yield _found(ids, np.frombuffer(counts, np.int32).astype(np.int64), _Postings(terms, heads, places), sets, slop, every, segment)
 
     return find
 
 
-def _found(ids: pa.Array, counts: np.ndarray, postings: _Postings, sets: list, slop: int, every: bool) -> pa.RecordBatch:
+def _found(ids: pa.Array, counts: np.ndarray, postings: _Postings, sets: list, slop: int, every: bool, segment: bytes) -> pa.RecordBatch:
     origin = np.concatenate(([0], np.cumsum(counts + GAP)))
     hits: dict[int, tuple[list, set, set]] = {}
     for size, windows, first, names in sets:
@@ -216,7 +218,6 @@ def _found(ids: pa.Array, counts: np.ndarray, postings: _Postings, sets: list, s
         spans.append(_merged(np.concatenate(mine[0])) if mine else [])
         items.append(sorted(mine[1]) if mine else [])
         near.append(sorted(mine[2]) if mine else [])
-    token = _segment_token(ids, counts, postings)
     return pa.RecordBatch.from_arrays(
         [
             ids.take(pa.array(rows)),
@@ -224,22 +225,13 @@ def _found(ids: pa.Array, counts: np.ndarray, postings: _Postings, sets: list, s
             pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))),
             pa.array(items, pa.list_(pa.string())),
             pa.array(near, pa.list_(pa.string())),
-            pa.array([token] * len(rows), pa.binary()),
+            pa.array([segment] * len(rows), pa.binary()),
             pa.array(rows, pa.int32()),
         ],
         names=["doc_id", "n_words", "spans", "items", "near_items", "segment", "row"],
     )
 
 
-def _segment_token(ids: pa.Array, counts: np.ndarray, postings: _Postings) -> bytes:
-    import hashlib
-
-    digest = hashlib.sha256(repr(ids.to_pylist()).encode())
-    for part in (counts, postings.terms, postings.places):
-        digest.update(np.ascontiguousarray(part).tobytes())
-    return digest.digest()
-
-
 def _merged(spans: np.ndarray) -> list[dict]:
     spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
     reach = np.maximum.accumulate(spans[:, 1])
