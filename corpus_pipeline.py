@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontamination, jaccard_join, line_dedup, sentencepiece_codec, toxicity
@@ -24,16 +24,28 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.char_length("text").cast(kept.schema["n_chars"].dataType))
 
 
+def _digest() -> Column:
+    """Half a SHA-256 of the text (null as empty); with doc_id it names a row, and rows it cannot tell apart get equal verdicts."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256), 1, 32))
+
+
+def _without(docs: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the rows whose doc_id (null too) and digest are in ``rows``, a frame of their structs ``row``."""
+    # Written, so that Spark knows its size before it shuffles the documents for the join.
+    gone = staged(rows.select(F.col("row.doc_id").alias("__gone"), F.col("row.digest").alias("__digest")).distinct(), name)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & _digest().eqNullSafe(F.col("__digest")), "left_anti")
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates.
+    """The document with the smallest doc_id of each group of near-duplicates, of one id that with the smallest digest.
 
-    Documents without an id link nothing and stay; of rows with equal doc_id and text one stays.
+    Documents without an id link nothing and stay; of rows with equal doc_id and text one stays. Rows of
+    one id and different texts are documents of their own: each stays or goes with its own group.
     """
-    found = jaccard_join.near_duplicates(docs).where("doc_id IS NOT NULL")
-    # Written, so that Spark knows its size before it shuffles the documents for the join.
-    gone = staged(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "copies")
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__twice"))
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", _digest().alias("digest")))
+    found = jaccard_join.near_duplicates(docs.select(row.alias("row"), "text"), id_col="row").where("doc_id IS NOT NULL")
+    kept = _without(docs, found.where("component_id <> doc_id").select(F.col("doc_id").alias("row")), "copies")
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id.doc_id").alias("__twice")).distinct()
     if twice.isEmpty():
         return kept
     again = F.col("doc_id") == F.col("__twice")
@@ -41,10 +53,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = staged(found.where("contaminated").select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """Documents that hold no window of a benchmark item; each row by its own text, whatever shares its doc_id."""
+    rows = docs.select(F.struct("doc_id", _digest().alias("digest")).alias("row"), "text")
+    found = decontamination.contamination(rows, table(spark, sf_dir, "benchmark"), id_col="row")
+    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("row")), "contaminated")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

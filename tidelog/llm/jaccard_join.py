@@ -350,15 +350,13 @@ def near_duplicates(
     if not large.isEmpty():
         for more in _large_regions(large, sets, threshold, region_size, scratch.stage):
             links = links.unionByName(more)
-    by_owner = owners.select("set_id", "owner")
-    edges = (
-        links.distinct()
-        .join(by_owner.select(F.col("set_id").alias("a"), F.col("owner").alias("oa")), "a")
-        .join(by_owner.select(F.col("set_id").alias("b"), F.col("owner").alias("ob")), "b")
-        .select(F.col("oa").alias("a"), F.col("ob").alias("b"))
-    )
-    found = connected_components(edges, scratch.stage)
-    classes = owners.join(found, F.col("owner") == F.col("v"), "left").select("set_id", F.coalesce("component", "owner").alias("component_id"))
+    # Over sets, not their owners: texts that share a doc_id must not connect what only one of them reaches.
+    found = connected_components(links, scratch.stage)
+    reached = found.unionByName(found.select(F.col("component").alias("v"), "component").distinct())
+    reached = scratch.stage(reached.join(owners.select(F.col("set_id").alias("v"), "owner"), "v"), "reached-sets")
+    least = reached.groupBy("component").agg(F.min("owner").alias("least"))
+    named = reached.join(least, "component").select(F.col("v").alias("set_id"), "least")
+    classes = owners.select("set_id", "owner").join(named, "set_id", "left").select("set_id", F.coalesce("least", "owner").alias("component_id"))
     linked = filled.join(classes, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = documents.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = staged(linked.unionByName(alone), "near-duplicates")
