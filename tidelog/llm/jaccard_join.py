@@ -17,7 +17,10 @@ part nothing. The join therefore has two levels:
 
 A sketch of shingle parities bounds the symmetric difference of two sets from below and keeps sets
 without any possible partner from travelling. No step caps partners or candidates. Equal sets are joined
-once; the result has links enough to connect what is connected, not all pairs of a group.
+once; components need only links enough to connect what is connected, not all pairs of a group. With
+``links`` the pairs of each region, and of each two blocks of a large one, are all compared and counted
+where the two sets first meet (their least common pivot), so that each document has its exact number
+of links. That takes time with the square of a region's size; pairs are counted, never written.
 
 Shingles are compared by 54-bit hashes, sets by 64-bit sums of these.
 
@@ -47,6 +50,7 @@ ROW_BITS, HASH_BITS = np.uint64(10), np.uint64(54)
 BUCKET_BITS = 24
 OFTEN = 32
 SKETCH_WORDS = 128
+COLUMNS = 4096  # shingles compared at a time when links are counted
 
 
 class Sets:
@@ -304,16 +308,70 @@ def _large_regions(members: DataFrame, sets: DataFrame, threshold: int, region_s
     return [links, _edges(stage(_join_groups(last, threshold), "straggler-links"))]
 
 
+def _common(lists: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the lists share; a list has no value twice."""
+    values, flat, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    row, flat = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), flat.ravel()
+    order = np.argsort(flat, kind="stable")
+    order = order[times[flat[order]] > 1]
+    row, col = row[order], (np.cumsum(times > 1) - 1)[flat[order]]
+    out, width = np.zeros((len(lists), len(lists)), np.int64), int(np.count_nonzero(times > 1))
+    for start in range(0, width, COLUMNS):
+        a, b = np.searchsorted(col, [start, start + COLUMNS])
+        part = np.zeros((len(lists), min(COLUMNS, width - start)), np.float32)
+        part[row[a:b], col[a:b] - start] = 1
+        out += (part @ part.T).astype(np.int64)
+    return out
+
+
+def links_of(codes: list[np.ndarray], homes: list[np.ndarray], copies: np.ndarray, pivot: int, side: np.ndarray | None, threshold: int) -> np.ndarray:
+    """Copies of the other sets within the threshold of each set, for pairs that share no pivot below ``pivot``; with ``side`` only across."""
+    n, common = np.array([len(c) for c in codes]), _common(codes)
+    near = 100 * common >= threshold * (n[:, None] + n - common)
+    np.fill_diagonal(near, False)
+    if side is not None:
+        near &= side[:, None] != side
+    if near.any():
+        near &= _common([h[h < pivot] for h in homes]) == 0
+    return near @ copies
+
+
+def _link_counts(small: DataFrame, large: DataFrame, sets: DataFrame, copies: DataFrame, threshold: int, region_size: int, stage: Callable) -> DataFrame:
+    """set_id and k, the documents of other sets linked to it, of all sets in a region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _grouped(batches):
+            codes = [np.frombuffer(c, np.uint64) for c in table.column("codes").to_pylist()]
+            homes = [np.frombuffer(h, ">i8").astype(np.int64) for h in table.column("homes").to_pylist()]
+            cross = table.column("cross")[0].as_py()
+            side = table.column("side").to_numpy() if cross else None
+            k = links_of(codes, homes, table.column("copies").to_numpy(), table.column("pivot")[0].as_py(), side, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(table.column("set_id").to_numpy()), pa.array(k)], names=["set_id", "k"])
+
+    met = small.unionByName(large.select("pivot", "set_id"))
+    homes = met.groupBy("set_id").agg(F.unhex(F.array_join(F.collect_list(F.lpad(F.hex("pivot"), 16, "0")), "")).alias("homes"))
+    known = stage(sets.join(homes, "set_id").join(copies, "set_id"), "link-sets")
+    whole = small.select(F.col("pivot").alias("group"), "pivot", "set_id", F.lit(0).cast("bigint").alias("side"), F.lit(False).alias("cross"))
+    blocks = F.ceil(F.col("size") / max(1, region_size // 2))
+    cut = large.select("pivot", "set_id", blocks.alias("blocks"), F.pmod(F.xxhash64("set_id"), blocks).alias("side"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    pair = F.xxhash64("pivot", F.least("side", "other"), F.greatest("side", "other")).alias("group")
+    parts = cut.select(pair, "pivot", "set_id", "side", (F.col("side") != F.col("other")).alias("cross"))
+    rows = whole.unionByName(parts).join(known, "set_id").select("group", "pivot", "set_id", "side", "cross", "codes", "homes", "copies")
+    rows = rows.repartition("group").sortWithinPartitions("group", "set_id")
+    return rows.mapInArrow(portable(run), "set_id bigint, k bigint").groupBy("set_id").agg(F.sum("k").alias("k"))
+
+
 def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, region_size: int = REGION, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD, region_size: int = REGION, id_col: str = "doc_id", text_col: str = "text", links: bool = False
 ) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+    """doc_id, n_shingles and component_id of every document; with ``links`` also n_links, how many others are within the threshold."""
     base = texts(docs, id_col, text_col).withColumn("dkey", F.xxhash64("doc_id"))
     # One row a document, kept in the shared folder: everything else hangs on it.
     scratch, early = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
     documents = scratch.stage(_set_rows(base, shingle), "shingle-sets")
     filled = documents.where("n > 0 AND doc_id IS NOT NULL")
-    owners = scratch.stage(filled.groupBy("set_id").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "set-owners")
+    owners = scratch.stage(filled.groupBy("set_id").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "set-owners")
     known = base.where("doc_id IS NOT NULL")
     hot = _levels(known, shingle, threshold, early.stage)
     shared = early.stage(
@@ -346,19 +404,26 @@ def near_duplicates(
     codes = _codes(known, shingle, Marks(needed, "dkey")).alias("c").join(needed.alias("o"), F.expr("c.set_id = o.set_id AND c.doc_id = o.owner"))
     sets = scratch.stage(codes.select("c.set_id", "c.codes").dropDuplicates(["set_id"]), "set-codes")
     groups = small.join(sets, "set_id").select(F.col("pivot").alias("group"), "set_id", F.col("set_id").alias("label"), "codes")
-    links = _edges(_join_groups(groups, threshold))
+    edges = _edges(_join_groups(groups, threshold))
     if not large.isEmpty():
         for more in _large_regions(large, sets, threshold, region_size, scratch.stage):
-            links = links.unionByName(more)
+            edges = edges.unionByName(more)
     # Over sets, not their owners: texts that share a doc_id must not connect what only one of them reaches.
-    found = connected_components(links, scratch.stage)
+    found = connected_components(edges, scratch.stage)
     reached = found.unionByName(found.select(F.col("component").alias("v"), "component").distinct())
     reached = scratch.stage(reached.join(owners.select(F.col("set_id").alias("v"), "owner"), "v"), "reached-sets")
     least = reached.groupBy("component").agg(F.min("owner").alias("least"))
     named = reached.join(least, "component").select(F.col("v").alias("set_id"), "least")
     classes = owners.select("set_id", "owner").join(named, "set_id", "left").select("set_id", F.coalesce("least", "owner").alias("component_id"))
-    linked = filled.join(classes, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = documents.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = staged(linked.unionByName(alone), "near-duplicates")
+    names = ["doc_id", F.col("n").alias("n_shingles")]
+    alone = documents.where("n = 0 OR doc_id IS NULL").select(*names, F.col("doc_id").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
+    n_links = F.lit(0).cast("bigint")
+    if links:
+        copies = owners.select("set_id", "copies")
+        counted = scratch.stage(_link_counts(small, large, sets, copies, threshold, region_size, scratch.stage), "link-counts")
+        classes = classes.join(copies, "set_id").join(counted, "set_id", "left")
+        n_links = F.coalesce("k", F.lit(0)) + F.col("copies") - 1
+    out = filled.join(classes, "set_id").select(*names, "component_id", n_links.alias("n_links")).unionByName(alone)
+    out = staged(out if links else out.drop("n_links"), "near-duplicates")
     scratch.clear()
     return out

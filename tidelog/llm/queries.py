@@ -84,6 +84,27 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op2_jaccard_links",
+    f"""
+    WITH w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    s AS MATERIALIZED (
+        SELECT DISTINCT doc_id, ws[p : p + least(5, len(ws)) - 1] AS g
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS p FROM w WHERE len(ws) > 0)),
+    n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    l AS (
+        SELECT a, count(*) AS n_links
+        FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL) c
+        JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k) GROUP BY a)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.n_links, 0) AS n_links
+    FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN l ON l.a = d.doc_id
+    """,
+)
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), links=True).select("doc_id", "n_shingles", "n_links")
+
+
 QUALITY_THRESHOLD = 0.3
 
 
