@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.columns import duration_text, epoch, epoch_of, floor_div, instant
 from tidelog.functions.skew import previous_reading
+from tidelog.operators.dead_letters import first_rows
 
 
 def lag_report(log: DataFrame, ts: str, as_of: str, table: str = "table_name", warn: int = 60, alert: int = 300) -> DataFrame:
@@ -203,11 +204,11 @@ def file_counts(listing: DataFrame, per_partition: int = 300, per_table: int = 1
     return out.withColumn("level", level)
 
 
-def recent_activity(qlog: DataFrame, ts: str, as_of: str, minutes: int = 10, top: int = 10) -> DataFrame:
+def recent_activity(qlog: DataFrame, ts: str, as_of: str, minutes: int = 10, top: int | None = None) -> DataFrame:
     """The last finished queries within ``minutes`` before ``as_of``, newest first."""
     since = instant(as_of) - F.expr(f"INTERVAL {minutes} MINUTE")
     recent = qlog.where((F.col(ts) > since) & (F.col(ts) <= instant(as_of)))
-    return recent.orderBy(F.col(ts).desc(), *[c for c in qlog.columns if c != ts]).limit(top)
+    return first_rows(recent.orderBy(F.col(ts).desc(), *[c for c in qlog.columns if c != ts]), top)
 
 
 def activity_by_kind(qlog: DataFrame, ts: str, as_of: str, kind: str, minutes: int = 10) -> DataFrame:

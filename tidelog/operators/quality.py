@@ -23,6 +23,7 @@ from tidelog.functions.columns import (
     size_text,
     total,
 )
+from tidelog.operators.dead_letters import first_rows
 
 SOURCE, TARGET = "source_rows", "target_rows"
 
@@ -145,10 +146,11 @@ def sync_category7(counts: DataFrame, close_percent: float = 95.0, close_rows: i
     return counts.withColumn("category", category).withColumn("synced_percent", F.when(shown, _synced_percent()))
 
 
-def category_topn(categories: DataFrame, n: int = 30, size: str = SOURCE) -> DataFrame:
-    """The ``n`` largest tables of each category, ranked; ties by name. The limit is the report."""
+def category_topn(categories: DataFrame, n: int | None = None, size: str = SOURCE) -> DataFrame:
+    """The ``n`` largest tables of each category (all of them if no limit is given), ranked; ties by name."""
     by = Window.partitionBy("category").orderBy(F.col(size).desc(), "table_name")
-    return categories.withColumn("position", F.row_number().over(by)).where(F.col("position") <= n)
+    ranked = categories.withColumn("position", F.row_number().over(by))
+    return ranked if n is None else ranked.where(F.col("position") <= n)
 
 
 def sync_totals(counts: DataFrame) -> DataFrame:
@@ -339,7 +341,7 @@ def file_sizes(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("file_path"), F.col("length").alias("n_bytes"))
 
 
-def size_report(sizes: DataFrame, top: int = 20) -> DataFrame:
+def size_report(sizes: DataFrame, top: int | None = None) -> DataFrame:
     """Largest target tables with readable sizes and compression ratio.
 
     ``sizes`` has ``table_name, source_bytes, target_bytes``, one row or many per table.
@@ -348,11 +350,8 @@ def size_report(sizes: DataFrame, top: int = 20) -> DataFrame:
         F.sum("source_bytes").alias("source_bytes"), F.sum("target_bytes").alias("target_bytes")
     )
     ratio = F.try_divide(F.col("source_bytes").cast("double"), F.col("target_bytes").cast("double"))
-    return (
-        summed.withColumns({"ratio": F.round(ratio, 2), "target_size": size_text(F.col("target_bytes"))})
-        .orderBy(F.col("target_bytes").desc(), "table_name")
-        .limit(top)
-    )
+    out = summed.withColumns({"ratio": F.round(ratio, 2), "target_size": size_text(F.col("target_bytes"))})
+    return first_rows(out.orderBy(F.col("target_bytes").desc(), "table_name"), top)
 
 
 def population_stats(counts: DataFrame, rows: str = TARGET) -> DataFrame:

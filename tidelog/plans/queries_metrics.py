@@ -252,7 +252,7 @@ def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     qlog = load(spark, sf_dir, "events").where("event_type <> 'error'").select(
         "ts", F.col("event_type").alias("query_kind"), F.col("user_id").alias("read_rows"), F.col("event_id").alias("written_rows")
     )
-    out = mt.recent_activity(qlog, "ts", "2024-01-15 12:00:00", minutes=180)
+    out = mt.recent_activity(qlog, "ts", "2024-01-15 12:00:00", minutes=180, top=10)
     return out.withColumn("event_time", F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).drop("ts")
 
 

@@ -325,7 +325,7 @@ def size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("side") == "src", F.lit(48).cast("bigint")).otherwise(zero).alias("source_bytes"),
         F.when(F.col("side") == "tgt", text.cast("bigint")).otherwise(zero).alias("target_bytes"),
     )
-    return ql.size_report(sizes)
+    return ql.size_report(sizes, top=20)
 
 
 @query(
