@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontamination, fingerprints, jaccard_join, line_dedup, quality, sentencepiece_codec, suffix_dedup, token_files, toxicity, warc
+from tidelog.llm import decontamination, fingerprints, jaccard_join, line_dedup, quality, sentencepiece_codec, suffix_dedup, token_files, toxicity, warc, word_bpe
 from tidelog.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,6 +209,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op11_word_bpe")
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = word_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", "n_tokens", F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline

@@ -34,6 +34,7 @@ from tidelog.llm.encoding import HashIndex, PieceCache
 from tidelog.llm.shared import portable, texts
 
 WORD_END = 512  # added to the code of a word's last character; byte-level characters lie below it
+LONG_WORD = 64  # characters; the words up to here are merged together
 _codecs: dict = {}
 
 
@@ -67,7 +68,7 @@ class WordBpe:
         self.name_bytes = np.frombuffer(b"".join(names), np.uint8)
         self.name_size = np.array([len(n) for n in names], np.int64)
         self.name_first = np.cumsum(self.name_size) - self.name_size
-        self.cache = PieceCache(self._encode_units, bits=19, pool=1 << 21)
+        self.cache = PieceCache(self._encode_units, bits=20, pool=1 << 22)
 
     @staticmethod
     def _require_supported(spec: dict, model: dict, added: list) -> None:
@@ -99,11 +100,11 @@ class WordBpe:
         right = np.array([vocabulary[b] for _, b in merges], np.int64)
         made = np.array([vocabulary[a + b] for a, b in merges], np.int64)
         self.rank[made] = np.arange(len(made))
-        self.left[made], self.right[made] = left, right
+        self.left[made], self.right[made], self.made = left, right, made
         if len(np.unique(made)) < len(made) or (np.maximum(self.rank[left], self.rank[right]) >= np.arange(len(made))).any():
             raise ValueError("merges must make each entry once and after its parts")
         packed = left * n + right
-        self.pairs = HashIndex(tx.mix(packed.astype(np.uint64)), bits=16)
+        self.pairs = HashIndex(tx.mix(packed.astype(np.uint64)), bits=18)
         self.pair_rank = np.append(np.arange(len(made)), len(made))  # the last: no merge
         self.merge_of = dict(zip(packed.tolist(), zip(range(len(made)), made.tolist())))
         holds = self.border_holds(left, right, np.arange(len(made)))
@@ -196,14 +197,52 @@ class WordBpe:
         counts = np.bincount(word, minlength=len(words))
         if len(failing):
             starts = np.concatenate(([0], ends[:-1]))
-            exact = [self.merge(self.symbol[codes[a:b]].tolist()) for a, b in zip(starts[failing].tolist(), ends[failing].tolist())]
+            fresh, exact = self._merge_all(codes, starts[failing], ends[failing])
             keep = ~np.isin(word, failing)
-            fresh = np.repeat(failing, [len(e) for e in exact])
-            order = np.argsort(np.concatenate((word[keep], fresh)), kind="stable")
-            tokens = np.concatenate((tokens[keep], np.array([t for e in exact for t in e], np.int64)))[order]
-            counts[failing] = [len(e) for e in exact]
+            word, tokens = np.concatenate((word[keep], failing[fresh])), np.concatenate((tokens[keep], exact))
+            tokens, counts = tokens[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
         return tokens, counts
 
+    def _merge_all(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exact tokens of words, with the number of the word that each belongs to.
+
+        Each round merges the leftmost pair of the lowest rank in every word; a long word goes alone.
+        """
+        none, n = len(self.pair_rank) - 1, self.size
+        long = np.flatnonzero(ends - starts > LONG_WORD)
+        rest = np.flatnonzero(ends - starts <= LONG_WORD)
+        alone = [self.merge(self.symbol[codes[starts[k] : ends[k]]].tolist()) for k in long.tolist()]
+        words = [np.repeat(long, [len(a) for a in alone])]
+        tokens = [np.array([t for a in alone for t in a], np.int64)]
+        word = np.repeat(rest, (ends - starts)[rest])
+        part = self.symbol[codes[tx.ranges(starts[rest], (ends - starts)[rest])]]
+
+        def ranks(at: np.ndarray) -> np.ndarray:
+            found = self.pair_rank[self.pairs.find(tx.mix((part[at] * n + part[at + 1]).astype(np.uint64)))]
+            return np.where(word[at] == word[at + 1], found, none)
+
+        rank = np.append(ranks(np.arange(len(part) - 1)), none) if len(part) else part
+        while len(part):
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            least = np.minimum.reduceat(rank * len(part) + np.arange(len(part)), first)
+            open_, at = least // len(part) < none, least % len(part)
+            done = np.repeat(~open_, np.diff(np.append(first, len(part))))
+            words.append(word[done])
+            tokens.append(part[done])
+            at = at[open_]
+            part[at] = self.made[rank[at]]
+            keep = ~done
+            keep[at + 1] = False
+            at = (np.cumsum(keep) - 1)[at]
+            word, part, rank = word[keep], part[keep], rank[keep]
+            touched = np.unique(np.concatenate((at - 1, at)))
+            touched = touched[(touched >= 0) & (touched < len(part) - 1)]
+            rank[at] = none
+            rank[touched] = ranks(touched)
+        words, tokens = np.concatenate(words), np.concatenate(tokens)
+        order = np.argsort(words, kind="stable")
+        return words[order], tokens[order]
+
     def merge(self, parts: list[int]) -> list[int]:
         """Exact merging of one word: always the lowest rank, from the left."""
         n, merge_of = self.size, self.merge_of
