@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog.session import staged, work_dir
 
-__all__ = ["staged", "work_dir", "texts", "portable", "Marks", "Scratch"]
+__all__ = ["staged", "work_dir", "texts", "portable", "portable_pair", "Marks", "Scratch"]
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -74,3 +74,13 @@ def portable(fn: Callable) -> Callable:
         return pickle.loads(payload)(batches)
 
     return run
+
+
+def portable_pair(fn: Callable) -> Callable:
+    """The same for a cogrouped ``fn`` of two tables."""
+    both = portable(lambda pair: fn(*pair))
+
+    def run(left, right):
+        return both((left, right))
+
+    return run
