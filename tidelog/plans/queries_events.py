@@ -25,6 +25,17 @@ def _text(name: str) -> str:
     return f"CAST({name} AS VARCHAR)"
 
 
+#: What is known of each message of ``order_log``: a broken one (cut in half) keeps only its place in the topic.
+_READ = """(SELECT arrival, o_orderkey % 4 AS part, arrival % 97 <> 5 AS whole,
+           CASE WHEN arrival % 97 <> 5 THEN op END AS op, CASE WHEN arrival % 97 <> 5 THEN o_orderkey END AS o_orderkey,
+           CASE WHEN arrival % 97 <> 5 AND arrival % 89 <> 7 THEN o_custkey END AS o_custkey,
+           CASE WHEN arrival % 97 <> 5 THEN o_totalprice END AS o_totalprice,
+           CASE WHEN arrival % 97 <> 5 THEN o_orderdate END AS o_orderdate,
+           CASE WHEN arrival % 97 <> 5 THEN _version END AS _version,
+           CASE WHEN arrival % 97 <> 5 THEN _is_deleted ELSE 0 END AS _is_deleted
+    FROM order_log) m"""
+
+
 @query(
     "b01_parse_envelope",
     f"""
@@ -56,14 +67,13 @@ def parse_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "b02_unwrap",
     f"""
-    SELECT arrival AS off, op, {_text('o_orderkey')} AS o_orderkey,
-           CASE WHEN arrival % 89 <> 7 THEN {_text('o_custkey')} END AS o_custkey,
+    SELECT arrival AS off, op, {_text('o_orderkey')} AS o_orderkey, {_text('o_custkey')} AS o_custkey,
            CAST(o_totalprice AS DOUBLE) AS o_totalprice, {_text('o_orderdate')} AS o_orderdate
-    FROM order_log WHERE arrival % 97 <> 5""",
+    FROM {_READ}""",
 )
 def unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = ev.parse_envelope(ev.handle_tombstones(messages(spark, sf_dir)), ORDER_TYPES)
-    rows = ev.unwrap(parsed.where(F.col("_corrupt_record").isNull()))
+    rows = ev.unwrap(parsed)
     price = F.col("o_totalprice").cast("double").alias("o_totalprice")
     texts = [F.col(c).cast("string").alias(c) for c in ("o_orderkey", "o_custkey", "o_orderdate")]
     return rows.select("off", "op", price, *texts)
@@ -71,15 +81,15 @@ def unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "b03_rewrite_deletes",
-    """
-    SELECT op AS __op, CASE WHEN op = 'd' THEN 'true' ELSE 'false' END AS __deleted,
-           count(*) AS n, CAST(sum(1700000000000 + arrival) AS BIGINT) AS ts_sum,
+    f"""
+    SELECT op AS __op, CASE WHEN op = 'd' THEN 'true' WHEN op <> 'd' THEN 'false' END AS __deleted,
+           count(*) AS n, CAST(sum(CASE WHEN whole THEN 1700000000000 + arrival END) AS BIGINT) AS ts_sum,
            count(DISTINCT o_orderkey) AS n_keys
-    FROM order_log WHERE arrival % 97 <> 5 GROUP BY op""",
+    FROM {_READ} GROUP BY op""",
 )
 def rewrite_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = ev.parse_envelope(ev.handle_tombstones(messages(spark, sf_dir)), ORDER_TYPES)
-    rows = ev.rewrite_deletes(ev.unwrap(parsed.where(F.col("_corrupt_record").isNull())))
+    rows = ev.rewrite_deletes(ev.unwrap(parsed))
     return rows.groupBy("__op", "__deleted").agg(
         F.count("*").alias("n"),
         F.sum("__source_ts_ms").alias("ts_sum"),
@@ -110,19 +120,17 @@ def tombstones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "b05_normalise_values",
-    """
-    SELECT arrival AS off, o_orderkey,
-           CASE WHEN arrival % 89 = 7 THEN NULL ELSE o_custkey END AS o_custkey,
+    f"""
+    SELECT arrival AS off, o_orderkey, o_custkey,
            CAST(o_totalprice AS DOUBLE) AS price,
            CAST(CAST(o_totalprice * 100 AS BIGINT) AS BIGINT) AS cents,
            CAST(o_orderdate AS VARCHAR) AS order_date,
-           CASE WHEN arrival % 89 = 7 THEN 'o_custkey' ELSE '' END AS problems,
-           CAST(to_timestamp((1700000000500 + arrival) / 1000.0) AT TIME ZONE 'UTC' AS DATE)::VARCHAR AS event_day
-    FROM order_log WHERE arrival % 97 <> 5""",
+           CASE WHEN whole AND arrival % 89 = 7 THEN 'o_custkey' ELSE '' END AS problems,
+           CASE WHEN whole THEN CAST(to_timestamp((1700000000500 + arrival) / 1000.0) AT TIME ZONE 'UTC' AS DATE)::VARCHAR END AS event_day
+    FROM {_READ}""",
 )
 def normalise_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = typed_rows(spark, sf_dir).where(F.col("_corrupt_record").isNull())
-    return rows.select(
+    return typed_rows(spark, sf_dir).select(
         "off",
         "o_orderkey",
         "o_custkey",
@@ -140,11 +148,10 @@ def normalise_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o_orderkey, arrival AS off, op,
            CASE WHEN op = 'r' THEN 0 ELSE (999998 + _version) * 4294967296 + arrival END AS _version,
            _is_deleted, '{EVENTS_AS_OF}' AS _extracted_at
-    FROM order_log WHERE arrival % 97 <> 5""",
+    FROM {_READ}""",
 )
 def cdc_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = typed_rows(spark, sf_dir).where(F.col("_corrupt_record").isNull())
-    out = ev.with_cdc_columns(rows, ev.version_number(), instant(EVENTS_AS_OF))
+    out = ev.with_cdc_columns(typed_rows(spark, sf_dir), ev.version_number(), instant(EVENTS_AS_OF))
     return out.select(
         "o_orderkey", "off", "op", "_version", "_is_deleted", F.col("_extracted_at").cast("string").alias("_extracted_at")
     )
@@ -153,15 +160,15 @@ def cdc_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "b07_version_order",
-    """
+    f"""
     SELECT o_orderkey,
            max_by(op, struct_pack(a := _version, b := arrival)) AS last_op,
-           max(arrival) AS last_arrival_by_clock, count(*) AS n
-    FROM order_log WHERE arrival % 97 <> 5 GROUP BY o_orderkey""",
+           max_by(arrival, struct_pack(a := CASE WHEN whole THEN 0 ELSE part END, b := arrival)) AS last_arrival_by_clock, count(*) AS n
+    FROM {_READ} GROUP BY o_orderkey""",
 )
 def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = typed_rows(spark, sf_dir).where(F.col("_corrupt_record").isNull())
-    return rows.groupBy("o_orderkey").agg(
+    """Last change of each key; broken messages share the NULL key and are ordered by their place in the topic."""
+    return typed_rows(spark, sf_dir).groupBy("o_orderkey").agg(
         F.max_by("op", ev.version_expr("composite")).alias("last_op"),
         F.max_by("off", ev.version_expr("timestamp")).alias("last_arrival_by_clock"),
         F.count("*").alias("n"),

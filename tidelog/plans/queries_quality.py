@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.fixtures import BASE_TABLES, load
+from tidelog.fixtures import BASE_TABLES, EVENTS_AS_OF, load
 from tidelog.operators import quality as ql
 from tidelog.registry import percent_sql, query
 
@@ -271,14 +271,12 @@ def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FRESH_SQL = f"""
     SELECT user_id, age_seconds, CASE WHEN age_seconds > 3600 THEN 'very_stale' WHEN age_seconds > 600 THEN 'stale' ELSE 'fresh' END AS level
-    FROM (SELECT user_id, CAST(epoch(TIMESTAMP '2024-01-30 06:00:00') - epoch(date_trunc('second', max(ts))) AS BIGINT) AS age_seconds
-          FROM events WHERE ts <= TIMESTAMP '2024-01-30 06:00:00' GROUP BY user_id) a"""
+    FROM (SELECT user_id, CAST(epoch(TIMESTAMP '{EVENTS_AS_OF}') - epoch(date_trunc('second', max(ts))) AS BIGINT) AS age_seconds
+          FROM events GROUP BY user_id) a"""
 
 
 def fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    as_of = "2024-01-30 06:00:00"
-    seen = load(spark, sf_dir, "events").where(f"ts <= TIMESTAMP_NTZ '{as_of}'")
-    return ql.freshness(seen, "ts", as_of, table="user_id")
+    return ql.freshness(load(spark, sf_dir, "events"), "ts", EVENTS_AS_OF, table="user_id")
 
 
 @query("e19_freshness", _FRESH_SQL)

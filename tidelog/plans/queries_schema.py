@@ -152,14 +152,13 @@ def null_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d06_apply_defaults",
-    """SELECT arrival AS off, coalesce(CASE WHEN arrival % 89 <> 7 THEN o_custkey END, 0) AS o_custkey
-       FROM order_log WHERE arrival % 97 <> 5""",
+    """SELECT arrival AS off, CASE WHEN arrival % 89 = 7 OR arrival % 97 = 5 THEN 0 ELSE o_custkey END AS o_custkey
+       FROM order_log""",
 )
 def apply_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.plans.queries_events import typed_rows
 
-    rows = typed_rows(spark, sf_dir).where("_corrupt_record IS NULL")
-    return sc.apply_defaults(rows, {"o_custkey": F.lit(0).cast("bigint")}).select("off", "o_custkey")
+    return sc.apply_defaults(typed_rows(spark, sf_dir), {"o_custkey": F.lit(0).cast("bigint")}).select("off", "o_custkey")
 
 
 @query(
