@@ -14,6 +14,7 @@ from tidelog.plans.queries_state import _LATEST_ORDERS, _SHOW, order_log, show_o
 from tidelog.registry import query
 from tidelog.session import work_dir
 from tidelog.sources import read, write
+from tidelog.sources.folding import FoldingLog, LocatedTable, folding_sink
 from tidelog.streaming import jobs
 
 FILES = 4
@@ -216,6 +217,18 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show_order(written(spark, target))
 
 
+@query("a07_upsert_located", f"SELECT {_SHOW} FROM ({_LATEST_ORDERS}) s WHERE _is_deleted = 0")
+def upsert_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the key locator, in three batches that bring many changes of a key out of order."""
+    log = order_log(spark, sf_dir).withColumn("ym", F.date_format("o_orderdate", "yyyyMM").cast("int"))
+    target = LocatedTable(spark, work_dir(spark, "located"), ["o_orderkey"], ["_version", "arrival"], "ym", buckets=16)
+    target.create(st.latest_by_key(log.where("op = 'r'"), ["o_orderkey"], ["_version", "arrival"]))
+    changes = log.where("op <> 'r'")
+    for batch_id in (2, 1, 0):
+        target.upsert(changes.where(F.col("arrival") % 3 == batch_id), 2 - batch_id)
+    return show_order(target.read())
+
+
 @query("a07_merge_upsert", f"SELECT {_SHOW} FROM ({_LATEST_ORDERS}) s WHERE _is_deleted = 0")
 def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same merge as one plan, without writing."""
@@ -380,6 +393,45 @@ def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show_order(out).join(out.select("o_orderkey", "_is_deleted"), "o_orderkey")
 
 
+@query("c04_folding_log", f"SELECT {_SHOW} FROM ({_LATEST_ORDERS}) s WHERE _is_deleted = 0")
+def folding_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches, deletes before older changes, folded twice in between; a batch that comes again changes nothing."""
+    log = FoldingLog(spark, work_dir(spark, "folding"), ["o_orderkey"], ["_version", "arrival"], buckets=16)
+    changes = order_log(spark, sf_dir)
+    for batch_id in range(4):
+        log.append(changes.where(F.col("arrival") % 4 == batch_id), batch_id)
+        if batch_id % 2:
+            log.fold(ratio=0.1)
+    log.append(changes.where("arrival % 4 = 3"), 3)
+    return show_order(log.state())
+
+
+_HALF = "arrival % 3 < 2 OR arrival <= (SELECT max(o_orderkey) * 4 FROM orders)"
+
+
+@query(
+    "c05_late_after_delete",
+    f"""
+    SELECT {_SHOW}, _is_deleted FROM ({_LATEST_ORDERS}) s
+    WHERE _is_deleted = 0 OR arrival > (SELECT least(max(CASE WHEN arrival % 3 = 0 THEN arrival END), max(CASE WHEN arrival % 3 = 1 THEN arrival END),
+                                                     max(CASE WHEN arrival % 3 = 2 THEN arrival END)) FROM order_log WHERE {_HALF})""",
+)
+def late_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three source partitions, one after the other, the last in two halves: tombstones go up to the least consumed position."""
+    log = FoldingLog(
+        spark, work_dir(spark, "late"), ["o_orderkey"], ["_version", "arrival"], buckets=16, position="arrival", source=["part"], sources=["0", "1", "2"]
+    )
+    changes = order_log(spark, sf_dir).withColumn("part", (F.col("arrival") % 3).cast("int"))
+    middle = load(spark, sf_dir, "orders").agg(F.max("o_orderkey") * 4).scalar()
+    early = F.col("arrival") <= middle
+    for batch_id, rows in enumerate([F.col("part") == 0, F.col("part") == 1, (F.col("part") == 2) & early]):
+        log.append(changes.where(rows), batch_id)
+        log.fold(ratio=0)
+    log.append(changes.where((F.col("part") == 2) & ~early), 3)
+    out = log.latest()
+    return show_order(out).join(out.select("o_orderkey", "_is_deleted"), "o_orderkey")
+
+
 @query("c05_purge_deleted", f"SELECT {_SHOW} FROM ({_LATEST_ORDERS}) s WHERE _is_deleted = 0")
 def purge_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = order_log(spark, sf_dir).withColumn("ym", F.date_format("o_orderdate", "yyyyMM").cast("int"))
@@ -412,6 +464,23 @@ def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.where("_is_deleted = 0").select("user_id", "event_id", "event_type", "value")
 
 
+@query(
+    "c11_folded_stream",
+    """
+    SELECT user_id, event_id, event_type, value FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+      FROM user_changes) r
+    WHERE rn = 1 AND _is_deleted = 0""",
+)
+def folded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state without a state store: a stream into a log that folds as it grows."""
+    changes = change_files(spark, sf_dir, "user_changes").drop("props", "op")
+    log = FoldingLog(spark, work_dir(spark, "folded"), ["user_id"], ["ts", "event_id"], buckets=8)
+    writer = changes.writeStream.foreachBatch(folding_sink(log, ratio=0.2))
+    jobs.start(writer, work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
+    return log.state().select("user_id", "event_id", "event_type", "value")
+
+
 @query(
     "c12_dedup_events",
     """

@@ -48,7 +48,7 @@ def replicate(
         finally:
             stamped.unpersist()
 
-    return _start(messages.writeStream.foreachBatch(write), checkpoint, **when)
+    return start(messages.writeStream.foreachBatch(write), checkpoint, **when)
 
 
 def replicate_tables(
@@ -88,7 +88,7 @@ def replicate_tables(
             for df in held:
                 df.unpersist()
 
-    return _start(messages.writeStream.foreachBatch(write), checkpoint, **when)
+    return start(messages.writeStream.foreachBatch(write), checkpoint, **when)
 
 
 def _typed(messages: DataFrame, types: Mapping[str, str], version: str) -> DataFrame:
@@ -117,7 +117,7 @@ def stream_state(
         .select(*keys, "_row.*")
     )
     writer = state.writeStream.outputMode("update").foreachBatch(idempotent_sink(path))
-    return _start(writer, checkpoint, **when)
+    return start(writer, checkpoint, **when)
 
 
 def read_state(spark, path: str, keys: Sequence[str], version: Sequence[str] = ()) -> DataFrame:
@@ -157,7 +157,8 @@ def recent_window(
     return grouped.select(F.col("window.start").alias("window_start"), *rest)
 
 
-def _start(writer: DataStreamWriter, checkpoint: str, **when) -> StreamingQuery:
+def start(writer: DataStreamWriter, checkpoint: str, **when) -> StreamingQuery:
+    """Start a stream with the arguments of ``trigger``."""
     options: dict = trigger(**when)
     return writer.trigger(**options).option("checkpointLocation", checkpoint).start()
 
@@ -165,4 +166,4 @@ def _start(writer: DataStreamWriter, checkpoint: str, **when) -> StreamingQuery:
 def append_to(stream: DataFrame, path: str, checkpoint: str, **when) -> StreamingQuery:
     """Append-mode stream to a table, one folder per batch."""
     writer = stream.writeStream.outputMode("append").foreachBatch(idempotent_sink(path))
-    return _start(writer, checkpoint, **when)
+    return start(writer, checkpoint, **when)
