@@ -25,21 +25,26 @@ class PieceCache:
 
     def __init__(self, encode: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], bits: int = 21, pool: int = 1 << 24):
         self.encode, self.mask, self.limit = encode, np.uint64((1 << bits) - 1), pool
-        self.keys = np.zeros(1 << bits, np.uint64)
-        self.first, self.count = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget everything; the memory goes back (pages of new zeros are not taken before they are used)."""
+        n = int(self.mask) + 1
+        self.keys = np.zeros(n, np.uint64)
+        self.first, self.count = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.pool, self.used = np.zeros(self.limit, np.int32), 0
 
     def _append(self, ids: np.ndarray) -> int:
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), np.int32)))
+        if self.used + len(ids) > len(self.pool):  # the ids of one chunk beyond the limit
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(len(ids) + self.limit // 4, np.int32)))
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         return self.used - len(ids)
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other and the number of ids of each piece."""
-        if self.used > self.limit:
-            self.keys[:], self.used = 0, 0
+        if self.used > self.limit // 2:
+            self.clear()
         slot = (hashes & self.mask).astype(np.int64)
         known = self.keys[slot] == hashes
         first, count = self.first[slot], self.count[slot]

@@ -28,10 +28,11 @@ from pyspark.sql import DataFrame
 
 from tidelog.llm import text as tx
 from tidelog.llm.encoding import HashIndex, PieceCache, code_points
-from tidelog.llm.shared import portable, texts
+from tidelog.llm.shared import portable, releasing, texts
 
 SPACE_MARK = 0x2581
-CHUNK = 1 << 21
+CHUNK = 1 << 19  # bytes of text
+CELLS = 1 << 19  # places of units that are segmented together
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in a model file
 UNIGRAM, BPE = 1, 2
 _codecs: dict = {}
@@ -78,7 +79,7 @@ class Codec:
         self.order = {name: k for k, name in enumerate(self.names)}
         self.sizes = np.array([len(name) for name in self.names], np.int64)
         self.longest = int(self.sizes.max())
-        self.reach = np.zeros(len(chars) + 1, np.int64)  # longest piece that begins with a character
+        self.reach = np.zeros(len(chars) + 1, np.int32)  # longest piece that begins with a character
         for name in self.names:
             k = chars_at[name[0]]
             self.reach[k] = max(self.reach[k], len(name))
@@ -94,7 +95,7 @@ class Codec:
         if self.kind == BPE:
             self._merges()
         self._decoding(model, kinds)
-        self.cache = PieceCache(self._encode_units)
+        self.cache = PieceCache(self._encode_units, bits=20, pool=1 << 22)
 
     @staticmethod
     def _hash(name: str) -> np.ndarray:
@@ -232,7 +233,7 @@ class Codec:
         parts: list[tuple[np.ndarray, np.ndarray]] = []  # units, their ids in a row each
         for length in np.unique(lengths):
             units = np.flatnonzero(lengths == length)
-            step = max(1, (1 << 22) // int(length))
+            step = max(1, CELLS // int(length))
             for k in range(0, len(units), step):
                 some = units[k : k + step]
                 ids, n = self._segment(points, starts[at[some]], int(length))
@@ -247,16 +248,18 @@ class Codec:
     def _segment(self, points: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units of one length (each unit's after the other) and their numbers."""
         w = len(begin)
-        last = np.full((length + 1, w), -1, np.int64)
-        best = np.full((length + 1, w), -np.inf)
-        best[0] = 0
+        last = np.full((length + 1, w), -1, np.int32)
+        best = np.full((length + 1, w), -np.inf) if self.kind == UNIGRAM else None
+        if best is not None:
+            best[0] = 0
         reach = self.reach[self.char_class[points[begin + np.arange(length)[:, None]]]]
         piece = np.empty(w, np.int64)
         for end in range(1, length + 1):
             for size in range(1, min(end, self.longest) + 1):
                 lanes = np.flatnonzero(reach[end - size] >= size)
-                if self.kind == BPE and size < end:
-                    lanes = lanes[last[end - size, lanes] >= 0]
+                if self.kind == BPE:  # one piece is admitted at each end
+                    lanes = lanes[last[end, lanes] < 0]
+                    lanes = lanes[last[end - size, lanes] >= 0] if size < end else lanes
                 if not len(lanes):
                     continue
                 found = self._probe(begin[lanes] + end - size, begin[lanes] + end)
@@ -265,13 +268,13 @@ class Codec:
                 if self.kind == BPE:
                     lanes = lanes[self.reached[piece[lanes]]]
                     if size < end:
-                        lanes = lanes[self._admits(last[end - size, lanes], piece[lanes])]
-                    value = np.zeros(len(lanes))
+                        lanes = lanes[self._admits(last[end - size, lanes].astype(np.int64), piece[lanes])]
                 else:
                     value = best[end - size, lanes] + self.scores[piece[lanes]]
-                better = value > best[end, lanes]
-                lanes = lanes[better]
-                best[end, lanes], last[end, lanes] = value[better], piece[lanes]
+                    better = value > best[end, lanes]
+                    lanes = lanes[better]
+                    best[end, lanes] = value[better]
+                last[end, lanes] = piece[lanes]
             if self.kind == UNIGRAM:  # an unknown character is taken alone
                 lanes = np.flatnonzero(last[end] < 0)
                 best[end, lanes], last[end, lanes] = best[end - 1, lanes] + self.scores.min() - 10, -2
@@ -282,7 +285,7 @@ class Codec:
             lanes = np.flatnonzero(place > 0)
             if not len(lanes):
                 break
-            piece = last[place[lanes], lanes]
+            piece = last[place[lanes], lanes].astype(np.int64)
             rows.append(lanes)
             ends.append(place[lanes])
             pieces.append(piece)
@@ -335,7 +338,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(model)
-        for rows, data, offsets in tx.text_chunks(batches, limit=CHUNK):
+        for rows, data, offsets in releasing(tx.text_chunks(batches, limit=CHUNK), coder.cache):
             ids, counts = coder.encode(data, offsets)
             points, bounds = coder.normalize(data, offsets)
             wanted = np.where(points == SPACE_MARK, 0x20, points).astype(np.uint32)

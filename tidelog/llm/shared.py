@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog.session import staged, work_dir
 
-__all__ = ["staged", "work_dir", "texts", "portable", "portable_pair", "Marks", "Scratch"]
+__all__ = ["staged", "work_dir", "texts", "portable", "portable_pair", "releasing", "Marks", "Scratch"]
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,26 +61,62 @@ class Marks:
         return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def portable(fn: Callable) -> Callable:
-    """``fn`` for mapInArrow, also where workers start outside the folder that holds this package."""
+def releasing(batches: Iterator, *caches) -> Iterator:
+    """Pass batches on and empty the caches after the last one: workers, and what they keep, outlive their tasks."""
+    try:
+        yield from batches
+    finally:
+        for cache in caches:
+            cache.clear()
+
+
+def _shipped(fn: Callable) -> tuple[Callable, Callable]:
+    """Two functions that travel by value, so that workers need not find this package: one opens ``fn``, one gives memory back."""
     payload, root = cloudpickle.dumps(fn), str(Path(__file__).parents[2])
 
-    def run(batches):
+    def opened():
         import pickle
         import sys
 
         if root not in sys.path:
             sys.path.append(root)
-        return pickle.loads(payload)(batches)
+        return pickle.loads(payload)
+
+    def release():
+        # What a task leaves in a worker would add to the memory of the stages after it.
+        import ctypes
+
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return opened, release
+
+
+def portable(fn: Callable) -> Callable:
+    """``fn`` for mapInArrow, also where workers start outside the folder that holds this package."""
+    opened, release = _shipped(fn)
+
+    def run(batches):
+        try:
+            yield from opened()(batches)
+        finally:
+            release()
 
     return run
 
 
 def portable_pair(fn: Callable) -> Callable:
     """The same for a cogrouped ``fn`` of two tables."""
-    both = portable(lambda pair: fn(*pair))
+    opened, release = _shipped(fn)
 
     def run(left, right):
-        return both((left, right))
+        try:
+            return opened()(left, right)
+        finally:
+            release()
 
     return run

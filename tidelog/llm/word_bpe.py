@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from tidelog.llm import text as tx
 from tidelog.llm.encoding import HashIndex, PieceCache
-from tidelog.llm.shared import portable, texts
+from tidelog.llm.shared import portable, releasing, texts
 
 WORD_END = 512  # added to the code of a word's last character; byte-level characters lie below it
 LONG_WORD = 64  # characters; the words up to here are merged together
@@ -332,7 +332,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(vocabulary)
-        for rows, data, offsets in tx.text_chunks(batches):
+        for rows, data, offsets in releasing(tx.text_chunks(batches), coder.cache):
             ids, counts = coder.encode(data, offsets)
             firsts = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
