@@ -154,6 +154,27 @@ def test_warc(spark, none, monkeypatch):
     assert warc.read_warc(warc.write_warc(frame.limit(0))).count() == 0
 
 
+def test_warc_of_awkward_ids(spark):
+    ids = ["", "a\r\nWARC-Type: x", "é", "a b", "%41", None, "", "z" * 300, None]
+    pages = spark.createDataFrame([(i, None, f"<p>{k % 4}</p>") for k, i in enumerate(ids)], "page_id string, url string, html string").repartition(4)
+    by = {}
+    for k, i in enumerate(ids):
+        by.setdefault(k % 4, []).append(i)
+    first = {k: min((i for i in v if i is not None), default=None) for k, v in by.items()}
+    want = [(i, "response" if first[k % 4] in (None, i) else "revisit", None if first[k % 4] in (None, i) else first[k % 4]) for k, i in enumerate(ids)]
+    got = warc.read_warc(warc.write_warc(pages, shard_records=2), "string")
+    same(got.select("page_id", "record_type", "refers_to").collect(), want)
+
+
+def test_warc_of_one_hot_id_and_payload(spark):
+    rows = [(1, f"http://{k}", f"<p>{k}</p>") for k in range(60)] + [(k, f"http://{k}", "<p>same</p>") for k in range(60)]
+    manifest = warc.write_warc(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(5), shard_records=16)
+    files = manifest.collect()
+    assert len({r.shard for r in files}) >= 7 and sum(r.records for r in files) == 120  # the hot id is in several shards
+    back = warc.read_warc(manifest, "int").groupBy("record_type").count().collect()
+    assert {r["record_type"]: r["count"] for r in back} == {"response": 61, "revisit": 59}
+
+
 def test_sentencepiece(docs, rows, none):
     import sentencepiece
 
