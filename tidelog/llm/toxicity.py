@@ -5,12 +5,15 @@ are thirds of the toxic training rows by weight of such features in a hundred wo
 feature is shared by all thresholds: P(grade >= k) = logistic(w x - t_k), t_1 < t_2 < t_3. The output is the
 expected grade, and whether the chance of grade 1 or more exceeds the one that separates the sample best.
 
-The model is fitted on a bounded sample: the ``SAMPLE`` labelled documents with the smallest hash of
-doc_id. Feature counts of the sample are made in the cluster; the driver gets at most ``VOCABULARY``
-features and the sample's counts of these. Scoring takes every word of every text.
+The model is fitted on a bounded sample of the labelled documents: up to half of ``SAMPLE`` toxic ones and clean ones
+for the rest, those with the smallest hash of doc_id. Each class counts in the likelihood and the decision as
+often as among all labelled documents, so that a rare class is learnt and stays rare. Feature counts of the sample are made
+in the cluster; the driver gets at most ``VOCABULARY`` features and the sample's counts of these. Scoring takes
+every word of every text.
 
 Defined results: null or empty text has no words and is as severe as the thresholds say; a document
-with several labels is toxic if any says so; without labels nobody is toxic (severity 0); rows that
+with several labels is toxic if any says so; unless documents of both classes are there nobody is toxic (severity 0);
+an id on many rows gives the sample no more rows than its class may have, equal rows count once in it; rows that
 repeat get equal results; an empty table gives no rows.
 """
 
@@ -109,10 +112,13 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(linear[:, None] - self.thresholds, -50, 50)))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, grade: np.ndarray, width: int, steps: int = STEPS, ridge: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds that maximise the likelihood (Adam on the full sample)."""
+def fit_ordinal(
+    rows: np.ndarray, cols: np.ndarray, x: np.ndarray, grade: np.ndarray, width: int, steps: int = STEPS, ridge: float = 2e-4, weight: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds that maximise the mean log likelihood (rows weighted by ``weight``) less ``ridge`` / 2 times the squared weights."""
     n, cuts = len(grade), GRADES - 1
-    share = np.clip([(grade >= k).mean() for k in range(1, GRADES)], 1e-4, 1 - 1e-4)
+    part = np.full(n, 1 / n) if weight is None else weight / weight.sum()
+    share = np.clip([part[grade >= k].sum() for k in range(1, GRADES)], 1e-4, 1 - 1e-4)
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + np.arange(cuts) * 1e-3)
     # Thresholds are a first one and positive steps, so that they stay in order.
     p = np.concatenate((np.zeros(width), start[:1], np.log(np.maximum(np.diff(start), 1e-3))))
@@ -127,8 +133,9 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, grade: np.nda
         at = np.arange(n)
         chance = np.maximum(full[at, grade] - full[at, grade + 1], 1e-9)
         low, high = slope[at, grade] / chance, slope[at, grade + 1] / chance
-        dz = (high - low) / n
-        dt = np.array([(low[grade == k].sum() - high[grade == k - 1].sum()) / n for k in range(1, GRADES)])
+        low, high = low * part, high * part
+        dz = high - low
+        dt = np.array([low[grade == k].sum() - high[grade == k - 1].sum() for k in range(1, GRADES)])
         g = np.concatenate((np.bincount(cols, x * dz[rows], width) + ridge * p[:width], [dt.sum()], jumps * np.cumsum(dt[::-1])[::-1][1:]))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -138,20 +145,31 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, x: np.ndarray, grade: np.nda
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> OrdinalModel | None:
     """Fit on the bounded sample of labelled documents; docs has doc_id and text."""
     marks = (
-        labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+        labels.select(F.col(id_col).alias("doc_id"), (F.col(label_col) > 0).cast("int").alias("y"))
         .where("doc_id IS NOT NULL AND y IS NOT NULL")
         .groupBy("doc_id")
         .agg(F.max("y").alias("y"))
+        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     )
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # At most ``sample`` rows of an id and a number: the broadcast is bounded.
     scratch = Scratch(docs.sparkSession)
-    taken = scratch.stage(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y"), "toxic-sample")
-    sizes = {r.y: r.d for r in taken.groupBy("y").agg(F.count("*").alias("d")).collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    if not toxic or not clean:
+    marks = scratch.stage(marks, "toxic-marks")
+    every = {r.y: r.d for r in marks.groupBy("y").agg(F.count("*").alias("d")).collect()}
+    if len(every) < 2:
         scratch.clear()
         return None
+    most = {1: min(every[1], sample // 2)}
+    most[0] = min(every[0], sample - most[1])
+    first = lambda df, k, *by: df.where(F.col("y") == k).orderBy(*by).limit(most[k])
+    chosen = first(marks, 1, F.xxhash64("doc_id"), "doc_id").unionByName(first(marks, 0, F.xxhash64("doc_id"), "doc_id"))
+    # At most ``sample`` rows of an id, a number and a hash: both broadcasts are bounded.
+    rows_of = docs.withColumn("h", F.xxhash64("doc_id", "text"))
+    found = rows_of.join(F.broadcast(chosen), "doc_id").select("doc_id", "h", "y").distinct()
+    found = scratch.stage(found, "toxic-rows")
+    kept = first(found, 1, "h", "doc_id").unionByName(first(found, 0, "h", "doc_id"))
+    taken = rows_of.join(F.broadcast(kept), ["doc_id", "h"]).groupBy("doc_id", "h", "y").agg(F.any_value("text").alias("text"))
+    taken = scratch.stage(taken.select("doc_id", "text", "y"), "toxic-sample")
+    sizes = {r.y: r.d for r in taken.groupBy("y").agg(F.count("*").alias("d")).collect()}
+    toxic, clean = sizes[1], sizes[0]
     a, b = F.col("a") + 0.5, F.col("d") - F.col("a") + 0.5
     odds = F.log(a / (toxic + 1.0 - a)) - F.log(b / (clean + 1.0 - b))
     top = (
@@ -173,16 +191,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     weight = np.bincount(at, k * np.maximum(odds_of[cols], 0), len(y)) / np.maximum(n, 1) * 100
     edges = np.quantile(weight[y == 1], [1 / 3, 2 / 3])
     grade = np.where(y == 1, 1 + np.searchsorted(edges, weight, "left"), 0)
-    weights, thresholds = fit_ordinal(at, cols, np.log1p(k), grade, len(features))
+    part = np.where(y == 1, every[1] / toxic, every[0] / clean)
+    weights, thresholds = fit_ordinal(at, cols, np.log1p(k), grade, len(features), weight=part)
     p = 1 / (1 + np.exp(-np.clip(np.bincount(at, np.log1p(k) * weights[cols], len(y)) - thresholds[0], -50, 50)))
-    return OrdinalModel(features, weights, thresholds, _decision(p, y))
+    return OrdinalModel(features, weights, thresholds, _decision(p, y, part))
 
 
-def _decision(p: np.ndarray, y: np.ndarray) -> float:
-    """The chance at which the F measure on the sample is highest (midway to the next lower one)."""
+def _decision(p: np.ndarray, y: np.ndarray, part: np.ndarray) -> float:
+    """The chance at which the weighted F measure on the sample is highest (midway to the next lower one)."""
     order = np.argsort(-p, kind="stable")
-    right = np.cumsum(y[order])
-    score = 2 * right / (np.arange(1, len(y) + 1) + y.sum())
+    right = np.cumsum((part * y)[order])
+    score = 2 * right / (np.cumsum(part[order]) + (part * y).sum())
     score[:-1][p[order][:-1] == p[order][1:]] = -1  # equal chances fall on one side
     best = int(score.argmax())
     return float((p[order[best]] + p[order[min(best + 1, len(y) - 1)]]) / 2)
