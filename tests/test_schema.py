@@ -26,7 +26,9 @@ def test_columns_and_keys(catalog):
     rows = {}
     for r in catalog.orderBy("table_name", "ordinal").collect():
         rows.setdefault(r.table_name, []).append((r.column_name, r.key_position))
-    assert rows["shop_user"] == [("id", 1), ("mail_box", 0), ("is_vip", 0), ("last_order", 0), ("date_signed", 0)]
+    assert rows["shop_parcel"] == [
+        ("parcel_no", 1), ("shelf", 0), ("weight_grams", 0), ("is_fragile", 0), ("route_note", 0), ("pickup_date", 0), ("scanned", 0),
+    ]
     assert rows["shop_daily"] == [("day", 1), ("game_id", 2), ("plays", 0), ("stake", 0)]
     assert [c for c, _ in rows["shop_json"]] == ["id", "payload", "blob_data"]
     assert [c for c, _ in rows["shop_ticks"]] == ["id", "best_score", "city"]
@@ -37,7 +39,7 @@ def test_columns_and_keys(catalog):
 
 def test_base_types(catalog):
     t = types(sc.map_type(catalog), "mapped_type")
-    assert t["shop_order", "id"] == "UInt64" and t["shop_user", "id"] == "Int32"
+    assert t["shop_order", "id"] == "UInt64" and t["shop_parcel", "parcel_no"] == "Int32"
     assert t["shop_order", "total_amount"] == "Decimal(20,8)" and t["shop_daily", "stake"] == "Decimal64(2)"
     assert t["shop_enum", "made"] == "UInt16" and t["shop_enum", "opens"] == "String"
     s = types(sc.map_type(catalog), "spark_type")
@@ -51,7 +53,7 @@ def test_names_refine_only_what_fits_unless_asked_otherwise(catalog):
     assert safe["shop_history", "discount"] == "Float64" and ref["shop_history", "discount"] == "Int32"
     assert safe["shop_country", "country"] == "LowCardinality(FixedString(2))" and ref["shop_country", "country"] == "Int32"
     for t in (safe, ref):
-        assert t["shop_user", "is_vip"] == "Bool"
+        assert t["shop_parcel", "is_fragile"] == "Bool"
         assert t["shop_order", "created_at"] == "DateTime64(3, 'UTC')" and t["shop_log", "seen"] == "DateTime('UTC')"
         assert t["shop_order", "fee_amount"] == "Decimal64(2)" and t["shop_order", "status"] == "LowCardinality(String)"
         assert t["shop_token", "ref_guid"] == "UUID" and t["shop_token", "secret"] == "String"
@@ -61,17 +63,17 @@ def test_names_refine_only_what_fits_unless_asked_otherwise(catalog):
 def test_nulls_and_defaults(catalog):
     full = types(sc.null_policy(sc.refine_types(catalog)), "full_type")
     assert full["shop_order", "fee_amount"] == "Nullable(Decimal64(2))"
-    assert full["shop_user", "last_order"] == "DateTime64(6, 'UTC') DEFAULT toDateTime(0)"
-    assert full["shop_user", "mail_box"] == "String" and full["shop_log", "message"] == "String DEFAULT ''"
+    assert full["shop_parcel", "scanned"] == "DateTime64(6, 'UTC') DEFAULT toDateTime(0)"
+    assert full["shop_parcel", "shelf"] == "String" and full["shop_log", "message"] == "String DEFAULT ''"
     clause = types(sc.column_defaults(catalog), "default_clause")
     assert clause["shop_quotes", "note"] == "DEFAULT 'it'" and clause["shop_quotes", "empty"] == "DEFAULT ''"
     assert clause["shop_quotes", "rate"] == "DEFAULT 1.5" and clause["shop_log", "seen"] == "DEFAULT now()"
-    assert clause["shop_user", "last_order"] == "DEFAULT NULL" and clause["shop_user", "mail_box"] == ""
+    assert clause["shop_parcel", "scanned"] == "DEFAULT NULL" and clause["shop_parcel", "shelf"] == ""
 
 
 def test_partition_columns(catalog):
     chosen = {r.table_name: r.partition_column for r in sc.partition_column(catalog).collect()}
-    assert chosen == {"shop_user": "date_signed", "shop_order": "created_at", "shop_log": "seen", "shop_history": "history_date"}
+    assert chosen == {"shop_parcel": "pickup_date", "shop_order": "created_at", "shop_log": "seen", "shop_history": "history_date"}
 
 
 def test_generated_tables_can_be_created_and_described(spark, catalog):
