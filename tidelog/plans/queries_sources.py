@@ -14,8 +14,10 @@ from tidelog.plans.queries_state import _LATEST_ORDERS, _SHOW, order_log, show_o
 from tidelog.registry import query
 from tidelog.session import work_dir
 from tidelog.sources import read, write
+from tidelog.sources import snapshot as snap
 from tidelog.sources.folding import FoldingLog, LocatedTable, folding_sink
 from tidelog.streaming import jobs
+from tidelog.streaming.intervals import TakenPositions, once
 
 FILES = 4
 PATTERN = r"mysql\.shop\..*"
@@ -51,6 +53,24 @@ def read_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "a01_chunk_bounds",
+    """
+    SELECT 32 AS chunks, true AS within_two, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders""",
+)
+def chunk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that crowd at the lower end (cubes) in chunks whose sizes differ by less than the factor two."""
+    rows = load(spark, sf_dir, "orders").withColumn("key", F.col("o_orderkey") * F.col("o_orderkey") * F.col("o_orderkey"))
+    bounds = snap.chunk_bounds(rows, "key", 32)
+    parts = rows.groupBy(snap.chunk_number("key", bounds).alias("chunk")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum"))
+    return parts.agg(
+        F.count("*").cast("int").alias("chunks"),
+        (F.max("n") <= 2 * F.min("n")).alias("within_two"),
+        F.sum("n").alias("n"),
+        F.sum("key_sum").alias("key_sum"),
+    )
+
+
 @query(
     "a02_select_tables",
     """
@@ -117,6 +137,28 @@ def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary("initial").unionByName(summary("initial_only")).unionByName(summary("never"))
 
 
+@query("a05_chunked_snapshot", f"SELECT {_SHOW} FROM ({_LATEST_ORDERS}) s WHERE _is_deleted = 0")
+def chunked_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five chunks, each read while another kind of change flows, and no change before them taken from elsewhere.
+
+    The log runs kind by kind (updates, moves, new rows, deletes, returns). A chunk is read halfway through one kind, so
+    it has seen the changes of some of its keys and missed those of others; what the log said before counts as consumed.
+    """
+    step = 10**11
+    log = order_log(spark, sf_dir).withColumn("pos", F.col("arrival") % 8 * step + F.col("arrival"))
+    middle = load(spark, sf_dir, "orders").agg(F.max("o_orderkey") * 4).scalar()
+    chunk = F.col("o_orderkey") % 5
+    low = (chunk + 2) * step
+    seen = st.current_state(log.where(F.col("pos") <= low + middle), ["o_orderkey"], ["pos"])
+    rows = seen.withColumns({"_low": low, "_high": low + step - 1, "op": F.lit("r")}).drop("pos")
+    changes = log.where((F.col("op") != "r") & (F.col("pos") > low))
+    merged = snap.between_marks(rows, changes, ["o_orderkey"], "pos")
+    # Operation and version as the log has them, to compare with it.
+    last = st.current_state(merged, ["o_orderkey"], ["pos"]).drop("op", "_version")
+    known = st.latest_by_key(log, ["o_orderkey"], ["pos"]).select("o_orderkey", "op", "_version")
+    return show_order(last.join(known, "o_orderkey"))
+
+
 _OK_ROWS = "SELECT * FROM order_log WHERE arrival % 97 <> 5 AND arrival % 89 <> 7"
 
 
@@ -487,11 +529,10 @@ def folded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT o_orderkey, _version, min(op) AS op FROM order_log GROUP BY o_orderkey, _version""",
 )
 def dedup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated deliveries of a key and version arrive once."""
-    stream = change_files(spark, sf_dir, "order_log").withColumn("seen_at", F.col("o_orderdate").cast("timestamp"))
-    unique = jobs.dedup_events(stream, ["o_orderkey", "_version"], "seen_at", "5000 days")
+    """Repeated deliveries arrive once: the version is the topic partition, the key the position in it."""
+    taken = TakenPositions(spark, work_dir(spark, "taken"), ["_version"], "o_orderkey")
     out = work_dir(spark, "dedup")
-    jobs.append_to(
-        unique.select("o_orderkey", "_version", "op"), out, work_dir(spark, "checkpoint"), available_now=True
-    ).awaitTermination()
+    stream = change_files(spark, sf_dir, "order_log")
+    writer = stream.writeStream.foreachBatch(once(taken, write.idempotent_sink(out)))
+    jobs.start(writer, work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
     return written(spark, out).select("o_orderkey", "_version", "op")
