@@ -5,6 +5,7 @@ import random
 import brute
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.llm import (
     components,
@@ -20,6 +21,8 @@ from tidelog.llm import (
     warc,
 )
 
+from tidelog.session import work_dir
+
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, region bigint, set_id bigint, spans string, n_words int, x double, gone string, toxic int, dkey bigint"
@@ -134,7 +137,59 @@ def test_runs_are_compacted(spark):
     for low in (30, 20, 10, 0):
         runs.add(spark.createDataFrame([(1, 1, low), (low, 2, low + 1)], "h1 bigint, h2 bigint, doc_id bigint"))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
-    same(runs.merged().collect(), [(1, 1, 4, 30), (30, 2, 1, 31), (20, 2, 1, 21), (10, 2, 1, 11), (0, 2, 1, 1)])
+    merged = runs.merged()
+    assert {r.fresh for r in merged.collect()} == {True}
+    same(merged.drop("fresh").collect(), [(1, 1, 4, 30), (30, 2, 1, 31), (20, 2, 1, 21), (10, 2, 1, 11), (0, 2, 1, 1)])
+
+
+def lines_rows(kind):
+    rng = random.Random(11)
+    name = (lambda k: k) if kind == "bigint" else (lambda k: f"d{k:03d}")
+    shared = [f"the shared line number {k} of the corpus" for k in range(6)]
+    return [(name(k), "\n".join([rng.choice(shared), f"own line of document {k} here", rng.choice(shared).upper(), "short"])) for k in range(60)]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_lines_of_batches_added_to_stored_runs(spark, kind):
+    rows = lines_rows(kind)
+    rows += [(rows[5][0], "another text of the same id\n" + rows[7][1])] + [(rows[9][0], f"{rows[9][1]}\n{k}") for k in range(30)]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    take = lambda df: df.select("doc_id", "n_lines", "n_dropped", "text").collect()
+    want = brute.line_dedup(rows)
+    same(take(line_dedup.drop_repeated_lines(docs)), want)
+    cut = sorted({d for d, _ in rows})[20]
+    folder = work_dir(spark, "test-runs")
+    early, late = docs.where(docs.doc_id > cut), docs.where(docs.doc_id <= cut)  # smaller ids come later
+    line_dedup.drop_repeated_lines(early, runs=line_dedup.SortedRuns(spark, folder, fanout=2)).count()
+    for name in [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]:
+        spark.sql(f"DROP TABLE {name}")  # as in a session of its own
+    again = line_dedup.SortedRuns(spark, folder)
+    got = take(line_dedup.drop_repeated_lines(late, runs=again))
+    same(got, [r for r in want if r[0] <= cut])
+    whole = line_dedup.SortedRuns(spark)
+    held = docs.selectExpr("doc_id", "text").select("doc_id", F.explode(line_dedup.placed_keys(F.col("text"), 20)).alias("k")).select("doc_id", "k.h.h1", "k.h.h2")
+    whole.add(held)
+    same(again.merged().collect(), [tuple(r) for r in whole.merged().collect()])
+    again.forget()
+    whole.forget()
+
+
+def test_runs_meet_where_they_lie(spark):
+    runs = line_dedup.SortedRuns(spark, fanout=9)
+    for first in (0, 50):
+        runs.add(spark.range(first, first + 100).select(F.col("id").alias("h1"), (F.col("id") * 2).alias("h2"), F.lit(first).alias("doc_id")))
+    one, two = (runs._table(n) for n in runs.levels[0])
+    assert two.where("fresh").count() == 50  # the others were known
+    plan = line_dedup._merge(one.hint("merge"), two)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and plan.count("Bucketed: true") >= 2
+    runs.forget()
+
+
+def test_lines_of_one_hot_line_and_hot_id(spark):
+    hot = "a line that a third of all documents hold"
+    rows = [(k, f"{hot}\nown text number {k} of this corpus") for k in range(300)] + [(1000, f"{k} lines of the hot document\n{hot}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    same(line_dedup.drop_repeated_lines(docs).collect(), brute.line_dedup(rows))
 
 
 def test_warc(spark, none, monkeypatch):
