@@ -32,6 +32,13 @@ MESSAGE_SCHEMA = T.StructType(
     ]
 )
 
+HEADER_LIST = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))
+
+# A message as the topic holds it: with its headers and the time it was written.
+RECORD_SCHEMA = T.StructType(
+    [*MESSAGE_SCHEMA.fields, T.StructField("headers", HEADER_LIST), T.StructField("ts", T.TimestampType())]
+)
+
 SOURCE_SCHEMA = T.StructType(
     [
         T.StructField("db", T.StringType()),

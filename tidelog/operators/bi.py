@@ -294,6 +294,60 @@ def funnel(events: DataFrame, user: str, ts: str, step_col: str, steps: Sequence
     return out
 
 
+def funnel_restarts(
+    events: DataFrame, user: str, ts: str, step_col: str, steps: Sequence[str], within: str | None = None, bucket: str = "1 DAY"
+) -> DataFrame:
+    """Users that reach each step in order at least once, whichever event of step one they start from.
+
+    Step k counts for a user with events of steps 1 to k, one after the other, the last at most ``within`` after the first. The
+    events of a user in one time bucket are summed up as what they do to any user that enters the bucket: for each pair of
+    steps i < j the earliest moment at which somebody at step i gets to step j, and for each step the latest start that gets there
+    inside the bucket. Such summaries compose, so a user's are put together in order of time; a user with a third of all
+    events has no more of them than there are buckets.
+    """
+    if len(set(steps)) < len(steps):
+        raise ValueError("a funnel's steps must differ")
+    micros = lambda text: f"unix_micros(TIMESTAMP '1970-01-01 00:00:00' + INTERVAL {text}) - unix_micros(TIMESTAMP '1970-01-01 00:00:00')"
+    n, width = len(steps), F.expr(micros(bucket))
+    limit = F.expr(micros(within)) if within else F.lit((1 << 62)).cast("bigint")
+    number = F.lit(0)
+    for k, step in enumerate(steps, 1):
+        number = F.when(F.col(step_col) == step, k).otherwise(number)
+    rows = events.where(F.col(step_col).isin(*steps) & F.col(ts).isNotNull() & F.col(user).isNotNull())
+    rows = rows.select(F.col(user).alias("_user"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), number.alias("_step"))
+    rows = rows.withColumn("_bucket", F.floor(F.col("_t") / width))
+    whole = Window.partitionBy("_user", "_bucket")
+    before = whole.orderBy("_t").rangeBetween(Window.unboundedPreceding, -1)
+    at = lambda k: F.when(F.col("_step") == k, F.col("_t"))
+    # The latest start of those that get to a step with this event.
+    rows = rows.withColumn("_start1", at(1))
+    for k in range(2, n + 1):
+        start = F.max(f"_start{k - 1}").over(before)
+        rows = rows.withColumn(f"_start{k}", F.when((F.col("_step") == k) & (F.col("_t") - start <= limit), start))
+    # The earliest time at which step j is reached from step i, by taking the first event of every step in between.
+    for i in range(1, n):
+        for j in range(i + 1, n + 1):
+            next_one = at(j) if j == i + 1 else F.when(F.col("_t") > F.col(f"_end{i}_{j - 1}"), at(j))
+            rows = rows.withColumn(f"_end{i}_{j}", F.min(next_one).over(whole))
+    starts, ends = [f"_start{k}" for k in range(1, n + 1)], [f"_end{i}_{j}" for i in range(1, n) for j in range(i + 1, n + 1)]
+    parts = rows.groupBy("_user", "_bucket").agg(*[F.max(c).alias(c) for c in starts], *[F.min(c).alias(c) for c in ends])
+
+    def compose(state: Column, part: Column) -> Column:
+        after = []
+        for j in range(1, n + 1):
+            ways = [state[f"s{j}"], part[f"_start{j}"]]
+            ways += [F.when(part[f"_end{i}_{j}"] - state[f"s{i}"] <= limit, state[f"s{i}"]) for i in range(1, j)]
+            after.append((F.greatest(*ways) if len(ways) > 1 else ways[0]).alias(f"s{j}"))
+        return F.struct(*after)
+
+    empty = F.struct(*[F.lit(None).cast("bigint").alias(f"s{k}") for k in range(1, n + 1)])
+    merged = parts.groupBy("_user").agg(F.array_sort(F.collect_list(F.struct("_bucket", *starts, *ends))).alias("_parts"))
+    reached = merged.select(F.aggregate("_parts", empty, compose).alias("_s")).select("_s.*")
+    counts = reached.agg(*[F.count(f"s{k}").alias(f"n{k}") for k in range(1, n + 1)])
+    rows = [F.struct(F.lit(k).alias("position"), F.lit(step).alias("step"), F.col(f"n{k}").alias("users")) for k, step in enumerate(steps, 1)]
+    return counts.select(F.inline(F.array(*rows)))
+
+
 def first_purchase(orders: DataFrame, customer: str, ts: str, order_key: str) -> DataFrame:
     """Add ``is_first_purchase``: the earliest order of a customer (ties: lowest key).
 
@@ -320,6 +374,30 @@ def sketch_users(events: DataFrame, user: str, by: Sequence[str | Column]) -> Da
     )
 
 
+#: Standard errors of the estimates, times the square root of the number of entries.
+HLL_ERROR, THETA_ERROR = 1.04, 1.0
+
+
+def within_errors(estimate: str, exact: str, size: str, lg_k: int, error: float, times: int = 3) -> Column:
+    """Is an estimate within some standard errors of the exact count; ``size`` is the count of the sets it was made from."""
+    return F.abs(F.col(estimate) - F.col(exact)) <= F.ceil(times * error / (1 << lg_k) ** 0.5 * F.col(size))
+
+
+def returning_users(sketches: DataFrame, period: str, days: int) -> DataFrame:
+    """Per period with a period ``days`` later: estimated users of either, of both (returned) and of the first only (lost).
+
+    ``sketches`` has one Theta sketch for each period: any two periods are compared without going back to the events.
+    """
+    later = sketches.select(F.date_sub(period, days).alias(period), F.col("theta").alias("_later"))
+    size = F.theta_sketch_estimate
+    return sketches.join(later, period).select(
+        period,
+        size(F.theta_union("theta", "_later")).alias("either_estimate"),
+        size(F.theta_intersection("theta", "_later")).alias("returned_estimate"),
+        size(F.theta_difference("theta", "_later")).alias("lost_estimate"),
+    )
+
+
 def merge_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     aggs = [
         F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("hll_users"),

@@ -24,6 +24,7 @@ from tidelog.functions.columns import (
     total,
 )
 from tidelog.operators.dead_letters import first_rows
+from tidelog.session import staged
 
 SOURCE, TARGET = "source_rows", "target_rows"
 
@@ -215,43 +216,71 @@ def _comparable(source: DataFrame, target: DataFrame, cols: Sequence[str]) -> Co
     return row_hash64(list(cols)) if types[0] == types[1] else row_hash(cols)
 
 
-def checksum_diff(
-    source: DataFrame, target: DataFrame, keys: Sequence[str], cols: Sequence[str], buckets: int = 1024
-) -> DataFrame:
-    """Keys whose rows differ between two sides: ``missing``, ``extra`` or ``changed``.
+def differing_rows(
+    source: DataFrame, target: DataFrame, keys: Sequence[str], cols: Sequence[str], nodes: int = 4096, leaf_rows: int = 64
+) -> tuple[DataFrame, DataFrame]:
+    """Keys and row hashes of both sides below those leaves of a hash tree that differ.
 
-    First both sides are summed per key bucket. Only rows of buckets that differ are compared
-    by key, so a nearly equal pair moves few rows. Repeated keys are compared as multisets by
-    count and hash sum, never as pairs.
+    The key's hash places a row in one of ``nodes`` nodes, and below it in a leaf of some ``leaf_rows`` rows. Both sides are
+    summed by node first. Only nodes that differ are looked into: their rows are summed by leaf, and only rows of differing leaves
+    are returned, some ``leaf_rows`` for each difference, however large the tables. Where the nodes are no larger than
+    leaves the second step falls away.
     """
     keys = list(keys)
-    bucket = F.pmod(_comparable(source, target, keys), F.lit(buckets)).cast("int").alias("_bucket")
-    value = _comparable(source, target, cols).alias("_hash")
+    place, value = _comparable(source, target, keys), _comparable(source, target, cols).alias("_hash")
 
     def side(df: DataFrame) -> DataFrame:
-        return df.select(*keys, bucket, value)
+        return df.select(*keys, F.pmod(place, F.lit(nodes)).cast("int").alias("_node"), F.shiftrightunsigned(place, 12).alias("_rest"), value)
 
-    def by_bucket(df: DataFrame, name: str) -> DataFrame:
-        return side(df).groupBy("_bucket").agg(multiset_sum(F.col("_hash")).alias(name))
+    def compared(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+        sums = [df.groupBy(*by).agg(multiset_sum(F.col("_hash")).alias(n)) for df, n in ((left, "_s"), (right, "_t"))]
+        joined = sums[0].join(sums[1], by, "full_outer").where(~F.col("_s").eqNullSafe(F.col("_t")))
+        return joined.select(*by, F.greatest(F.coalesce("_s.n", F.lit(0)), F.coalesce("_t.n", F.lit(0))).alias("_n"))
 
-    compared = by_bucket(source, "_s").join(by_bucket(target, "_t"), "_bucket", "full_outer")
-    differing = compared.where(~F.col("_s").eqNullSafe(F.col("_t"))).select("_bucket")
+    found = staged(compared(side(source), side(target), ["_node"]), "differing-nodes")
+    width = F.greatest(F.lit(1), F.ceil(F.col("_n") / leaf_rows)).alias("_width")
+    # At most ``nodes`` rows: the broadcast is bounded.
+    differing = F.broadcast(found.select("_node", width))
+    inside = [side(df).join(differing, "_node").withColumn("_leaf", F.pmod("_rest", "_width")) for df in (source, target)]
+    if (found.agg(F.max("_n")).first()[0] or 0) <= leaf_rows:
+        return tuple(df.select(*keys, "_hash") for df in inside)
+    leaves = staged(compared(*inside, ["_node", "_leaf"]).select("_node", "_leaf"), "differing-leaves")
+    return tuple(df.join(leaves, ["_node", "_leaf"], "left_semi").select(*keys, "_hash") for df in inside)
 
-    def by_key(df: DataFrame, name: str) -> DataFrame:
-        # at most ``buckets`` rows on the broadcast side
-        rows = side(df).join(F.broadcast(differing), "_bucket", "left_semi")
-        return rows.groupBy(*keys).agg(multiset_sum(F.col("_hash")).alias(name))
 
-    joined = by_key(source, "_s").join(by_key(target, "_t"), keys, "full_outer")
+def checksum_diff(
+    source: DataFrame, target: DataFrame, keys: Sequence[str], cols: Sequence[str], nodes: int = 4096, leaf_rows: int = 64
+) -> DataFrame:
+    """Keys whose rows differ between two sides: ``missing``, ``extra`` or ``changed``.
+
+    Only ``differing_rows`` are compared by key, so a nearly equal pair moves few rows. Repeated keys are
+    compared as multisets by count and hash sum, never as pairs.
+    """
+    keys = list(keys)
+    left, right = differing_rows(source, target, keys, cols, nodes, leaf_rows)
+    sums = [df.groupBy(*keys).agg(multiset_sum(F.col("_hash")).alias(n)) for df, n in ((left, "_s"), (right, "_t"))]
+    joined = sums[0].join(sums[1], keys, "full_outer")
     status = F.when(F.col("_t").isNull(), "missing").when(F.col("_s").isNull(), "extra").otherwise("changed")
     return joined.where(~F.col("_s").eqNullSafe(F.col("_t"))).select(*keys, status.alias("difference"))
 
 
 def sample_keys(df: DataFrame, keys: Sequence[str], n: int, seed: int = 0) -> DataFrame:
-    """``n`` distinct keys, the same ones for the same seed: lowest salted md5 first."""
-    ranked = df.select(*keys).distinct()
+    """``n`` distinct keys, the same ones for the same seed: lowest salted md5 first.
+
+    A bound on the md5 keeps all but a few times ``n`` rows from leaving the scan; it is raised until it lets ``n``
+    keys through or all, so the result is that of sorting every key.
+    """
     salted = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
-    return ranked.orderBy(salted, *keys).limit(n)
+    share = 8 * max(n, 1) / max(df.count(), 1)
+    while True:
+        low = df if share >= 1 else df.where(salted < f"{int(share * 2**32):08x}")
+        found = low.select(*keys).distinct().orderBy(salted, *keys).limit(n)
+        if share >= 1:
+            return found
+        found = staged(found, "sampled-keys")
+        if found.count() >= n:
+            return found
+        share *= 16
 
 
 def sample_match(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.fixtures import ORDERS_AS_OF, SPARK, compose, load
 from tidelog.operators import bi
 from tidelog.operators import state as st
-from tidelog.plans.queries_sources import change_files, written
+from tidelog.plans.queries_sources import change_batch, written
 from tidelog.plans.queries_state import _LATEST_ORDERS, live_orders, order_log
 from tidelog.registry import query
 from tidelog.session import work_dir
@@ -372,6 +372,23 @@ def funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bi.funnel(load(spark, sf_dir, "events"), "user_id", "ts", "event_type", ["signup", "view", "purchase"], "12 HOUR")
 
 
+@query(
+    "h26_funnel_restarts",
+    """
+    WITH s1 AS (SELECT DISTINCT user_id, ts AS t FROM events WHERE event_type = 'signup'),
+    s2 AS (SELECT DISTINCT s1.user_id, s1.t AS t0, e.ts AS t FROM events e JOIN s1 ON e.user_id = s1.user_id AND e.ts > s1.t AND e.ts <= s1.t + INTERVAL 12 HOUR
+           WHERE event_type = 'view'),
+    s3 AS (SELECT DISTINCT e.user_id FROM events e JOIN s2 ON e.user_id = s2.user_id AND e.ts > s2.t AND e.ts <= s2.t0 + INTERVAL 12 HOUR
+           WHERE event_type = 'purchase')
+    SELECT 1 AS position, 'signup' AS step, (SELECT count(DISTINCT user_id) FROM s1) AS users
+    UNION ALL SELECT 2, 'view', (SELECT count(DISTINCT user_id) FROM s2)
+    UNION ALL SELECT 3, 'purchase', (SELECT count(*) FROM s3)""",
+)
+def funnel_restarts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any signup may start the twelve hours, not only a user's first."""
+    return bi.funnel_restarts(load(spark, sf_dir, "events"), "user_id", "ts", "event_type", ["signup", "view", "purchase"], "12 HOURS", "6 HOURS")
+
+
 @query(
     "h27_first_purchase",
     f"""SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1 AS INTEGER) AS is_first_purchase
@@ -421,7 +438,7 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def recent_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-minute metrics from a stream, as far as the watermark closed the windows."""
-    stream = change_files(spark, sf_dir, "events", files=1).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = change_batch(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     aggs = [F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(16,2)")).cast("double").alias("value")]
     windows = jobs.recent_window(stream, "ts", "5 minutes", ["event_type"], aggs, delay="0 seconds")
     out = work_dir(spark, "recent")
@@ -438,6 +455,47 @@ def sketch_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bi.merge_sketches(daily, ["event_type"])
 
 
+@query(
+    "h30_sketch_bounds",
+    """SELECT event_type, count(DISTINCT user_id) AS users, true AS hll_within, true AS theta_within FROM events GROUP BY event_type""",
+)
+def sketch_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Are the estimates of merged daily sketches within three standard errors of the exact counts."""
+    events = load(spark, sf_dir, "events")
+    near = bi.merge_sketches(bi.sketch_users(events, "user_id", [F.to_date("ts").alias("day"), "event_type"]), ["event_type"])
+    return bi.uniq(events, "user_id", ["event_type"]).withColumnRenamed("n_distinct", "users").join(near, "event_type").select(
+        "event_type", "users",
+        bi.within_errors("hll_users", "users", "users", 14, bi.HLL_ERROR).alias("hll_within"),
+        bi.within_errors("theta_users", "users", "users", 14, bi.THETA_ERROR).alias("theta_within"),
+    )
+
+
+@query(
+    "h30_returning_users",
+    """
+    WITH w AS (SELECT DISTINCT user_id, CAST(date_trunc('week', ts) AS DATE) AS week FROM events),
+    n AS (SELECT *, week + 7 AS after FROM w)
+    SELECT CAST(n.week AS VARCHAR) AS week, count(*) AS users, count(w.user_id) AS returned, count(*) - count(w.user_id) AS lost,
+           true AS returned_within, true AS lost_within
+    FROM n LEFT JOIN w ON w.user_id = n.user_id AND w.week = n.after
+    WHERE n.after IN (SELECT week FROM w) GROUP BY n.week""",
+)
+def returning_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of a week that come back the week after, from weekly sketches, beside the exact counts."""
+    events = load(spark, sf_dir, "events")
+    week = F.date_trunc("week", "ts").cast("date").alias("week")
+    sketches = bi.returning_users(bi.sketch_users(events, "user_id", [week]), "week", 7)
+    seen = events.select("user_id", week).distinct()
+    again = seen.select("user_id", F.date_sub("week", 7).alias("week"), F.lit(1).alias("back"))
+    exact = seen.join(again, ["user_id", "week"], "left").groupBy("week").agg(F.count("*").alias("users"), F.count("back").alias("returned"))
+    both = exact.withColumn("lost", F.col("users") - F.col("returned")).join(sketches, "week")
+    return both.select(
+        F.col("week").cast("string").alias("week"), "users", "returned", "lost",
+        bi.within_errors("returned_estimate", "returned", "either_estimate", 14, bi.THETA_ERROR).alias("returned_within"),
+        bi.within_errors("lost_estimate", "lost", "either_estimate", 14, bi.THETA_ERROR).alias("lost_within"),
+    )
+
+
 @query(
     "h31_expire",
     f"SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '{ORDERS_AS_OF} 00:00:00' - INTERVAL 365 DAY",

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.fixtures import load
-from tidelog.model import HEADER_PREFIX, ORDER_TYPES
+from tidelog.model import HEADER_PREFIX, ORDER_TYPES, RECORD_SCHEMA
 from tidelog.operators import bi
 from tidelog.operators import dead_letters as dl
 from tidelog.operators import dlq_rules as rules
 from tidelog.operators import events as ev
 from tidelog.plans.queries_events import typed_rows
-from tidelog.plans.queries_sources import change_files, written
+from tidelog.plans.queries_sources import change_batch, written
 from tidelog.registry import percent_sql, query
 from tidelog.session import work_dir
+from tidelog.sources import read
 from tidelog.streaming import jobs
 
 _HEADERS = {
@@ -108,6 +109,27 @@ def parse_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dl.parse_dlq(letters(spark, sf_dir)).drop("part", "ts", "msg_key", "value", "headers")
 
 
+def letter_topic(spark: SparkSession, sf_dir: str) -> str:
+    """The dead letters as record files, standing in for their topic."""
+    path = work_dir(spark, "dlq-topic")
+    rows = letters(spark, sf_dir).withColumns({"topic": F.lit("dlq.shop"), "ts": F.col("ts").cast("timestamp")})
+    rows.select(*RECORD_SCHEMA.names).write.json(path)
+    return path
+
+
+@query(
+    "f01_dlq_topic",
+    """SELECT off, part, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS seen_at, coalesce(h_topic, 'unknown') AS original_topic,
+          h_class AS exception_class, h_stage AS stage, '-1' AS task_id FROM dead_letters""",
+)
+def dlq_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters read from their topic as a batch: headers and time are those of the records."""
+    records = read.read_records(spark, r"dlq\..*", path=letter_topic(spark, sf_dir))
+    return dl.parse_dlq(records).select(
+        "off", "part", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("seen_at"), "original_topic", "exception_class", "stage", "task_id"
+    )
+
+
 @query("f02_dlq_table", f"SELECT off, table_name FROM ({_PARSED}) p")
 def dlq_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dl.dlq_table(dl.parse_dlq(letters(spark, sf_dir))).select("off", "table_name")
@@ -410,13 +432,28 @@ def replay_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dlq_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours with more than ten failures, from a stream; the hour still open is not judged."""
-    stream = change_files(spark, sf_dir, "dead_letters", files=1).withColumn("ts", F.col("ts").cast("timestamp"))
+    stream = change_batch(spark, sf_dir, "dead_letters").withColumn("ts", F.col("ts").cast("timestamp"))
     alerts = jobs.dlq_alert(stream, "ts", "1 hour", threshold=10, delay="0 seconds")
     out = work_dir(spark, "alerts")
     jobs.append_to(alerts, out, work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
     return written(spark, out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "failures")
 
 
+@query(
+    "f24_dlq_topic_alert",
+    """SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, failures FROM (
+         SELECT date_trunc('hour', ts) AS h, count(*) AS failures FROM dead_letters GROUP BY 1) w
+       WHERE failures > 5 AND h < (SELECT date_trunc('hour', max(ts)) FROM events)""",
+)
+def dlq_topic_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours with more than five failures, from the dead-letter topic by the time of its records."""
+    stream = read.read_records(spark, r"dlq\..*", path=letter_topic(spark, sf_dir), stream=True)
+    alerts = jobs.dlq_alert(stream, "ts", "1 hour", threshold=5, delay="0 seconds")
+    out = work_dir(spark, "alerts")
+    jobs.append_to(alerts, out, work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
+    return written(spark, out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "failures")
+
+
 @query(
     "f25_report",
     f"""WITH {_ERRORS} SELECT category, count(*) AS n FROM errs GROUP BY category""",

@@ -9,6 +9,7 @@ from tidelog.fixtures import EVENTS_AS_OF, load
 from tidelog.functions.columns import instant
 from tidelog.model import ORDER_TYPES
 from tidelog.operators import events as ev
+from tidelog.operators import history as hs
 from tidelog.registry import query
 
 
@@ -173,3 +174,32 @@ def version_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max_by("off", ev.version_expr("timestamp")).alias("last_arrival_by_clock"),
         F.count("*").alias("n"),
     )
+
+
+# Versions 999998 + _version name the log file: a schema for the snapshot and first changes, one from the deletes on.
+_CHANGED_AT = (999998 + 2) << 32
+SCHEMAS = [
+    (0, {"o_orderkey": "bigint", "o_custkey": "string", "o_totalprice": "decimal(18,2)"}),
+    (_CHANGED_AT, {"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "decimal(18,2)", "o_orderpriority": "string"}),
+]
+
+
+@query(
+    "a11_schema_history",
+    f"""
+    SELECT arrival AS off, op, CASE WHEN _version >= 2 THEN {_CHANGED_AT} ELSE 0 END AS since,
+           o_orderkey, CASE WHEN arrival % 89 <> 7 THEN o_custkey END AS o_custkey, CAST(o_totalprice AS DOUBLE) AS price,
+           CASE WHEN _version >= 2 THEN o_orderpriority END AS o_orderpriority,
+           CASE WHEN arrival % 89 = 7 THEN 'o_custkey' ELSE '' END AS problems
+    FROM order_log WHERE arrival % 97 <> 5
+    UNION ALL SELECT arrival, NULL, 0, NULL, NULL, NULL, NULL, '' FROM order_log WHERE arrival % 97 = 5""",
+)
+def schema_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halfway through the log a column is added and another gets a number type; every change is read as its time had it."""
+    rows = [("orders", since, c, t) for since, types in SCHEMAS for c, t in types.items()]
+    history = spark.createDataFrame(rows, "table_name string, since bigint, column_name string, column_type string")
+    out = hs.typed_as_of(ev.handle_tombstones(messages(spark, sf_dir)), history, "orders")
+    return out.select(
+        "off", "op", "since", "o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("price"), "o_orderpriority",
+        F.array_join("_problems", ",").alias("problems"),
+    )

@@ -488,6 +488,14 @@ def change_files(spark: SparkSession, sf_dir: str, name: str, files: int = FILES
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
+def change_batch(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A fixture as a stream that delivers all its files, as many as Spark writes, in one batch."""
+    path = work_dir(spark, name)
+    rows = load(spark, sf_dir, name)
+    rows.write.parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
+
+
 @query(
     "c11_stream_state",
     """

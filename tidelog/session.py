@@ -16,15 +16,18 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.ui.enabled": "false",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
 # The JVM never compiles a method above 8000 bytes of bytecode. Wide projections (type rules,
 # message parsing, classifiers) exceed that in one generated stage and run interpreted; with
 # this limit Spark generates smaller methods for them, measured 3x faster.
-RUNTIME_CONF = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+# Stream state lives in RocksDB: on the executors' heap it would grow with the number of keys.
+RUNTIME_CONF = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
 
 
 def tune(spark: SparkSession) -> SparkSession:

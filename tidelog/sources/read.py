@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.model import MESSAGE_SCHEMA, VERSION
+from tidelog.model import MESSAGE_SCHEMA, RECORD_SCHEMA, VERSION
 
 FETCH_SIZE = 10240
 
@@ -85,15 +85,44 @@ def read_changes(
     if servers is None:
         raise ValueError("name the broker or a path")
     raw = spark.readStream.format("kafka").options(**kafka_options(servers, pattern, max_rows=max_rows)).load()
+    return broker_records(raw).select(*MESSAGE_SCHEMA.names)
+
+
+def broker_records(raw: DataFrame) -> DataFrame:
+    """Records as the broker source gives them, with texts for bytes: ``RECORD_SCHEMA``."""
     return raw.select(
         "topic",
         F.col("partition").cast("bigint").alias("part"),
-        F.col("offset").alias("off"),
+        F.col("offset").cast("bigint").alias("off"),
         F.col("key").cast("string").alias("msg_key"),
         F.col("value").cast("string").alias("value"),
+        F.transform("headers", lambda h: F.struct(h["key"].alias("key"), h["value"].cast("string").alias("value"))).alias("headers"),
+        F.col("timestamp").alias("ts"),
     )
 
 
+def read_records(
+    spark: SparkSession,
+    pattern: str,
+    servers: str | None = None,
+    path: str | None = None,
+    stream: bool = False,
+    max_rows: int | None = None,
+) -> DataFrame:
+    """Records of the topics that match, with headers and time (``RECORD_SCHEMA``), as a batch or a stream.
+
+    The batch form reads what the topics hold now; dead letters are read so for analysis, and as a stream for
+    alerts. ``path`` reads JSON lines of the same shape instead of a broker.
+    """
+    reader = spark.readStream if stream else spark.read
+    if path is not None:
+        return reader.schema(RECORD_SCHEMA).json(path).where(F.col("topic").rlike(f"^(?:{pattern})$"))
+    if servers is None:
+        raise ValueError("name the broker or a path")
+    options = kafka_options(servers, pattern, max_rows=max_rows if stream else None)
+    return broker_records(reader.format("kafka").options(**options).load())
+
+
 def select_tables(
     catalog: DataFrame, include: Sequence[str], exclude: Sequence[str] = (), db: str = "db", table: str = "table_name"
 ) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.util import inheritable_thread_target
 
 from tidelog.model import VERSION
 from tidelog.operators import events as ev
@@ -60,12 +62,14 @@ def replicate_tables(
     required: Mapping[str, Sequence[str]] | None = None,
     version: str = "position",
     partition_by: Mapping[str, Sequence[str]] | None = None,
+    writers: int = 16,
     **when,
 ) -> StreamingQuery:
     """Messages of many tables, each routed by its topic, typed by its own columns and appended below ``root``.
 
     ``tables`` gives the column types by table name. Messages of other topics, or of none, become
-    dead letters together with the rows that fail. A batch writes the tables it has messages of.
+    dead letters together with the rows that fail. A batch writes the tables it has messages of,
+    ``writers`` of them at a time: small tables then share the cluster instead of waiting for each other.
     """
     required, partition_by = required or {}, partition_by or {}
 
@@ -76,13 +80,19 @@ def replicate_tables(
         held, failures = [routed], [ev.unroutable(routed.where(~known))]
         try:
             present = {r[0] for r in routed.where(known).select("table_name").distinct().collect()}  # names of given tables
+            parts = {}
             for name in sorted(present):
                 mine = routed.where(F.col("table_name") == name).drop("table_name")
                 stamped = _typed(mine, tables[name], version).persist()
                 held.append(stamped)
-                ok, dlq = ev.split_valid(stamped, required.get(name, ()))
-                append_versions(ok.select(*_log_columns(tables[name])), f"{root.rstrip('/')}/{name}", batch_id, partition_by.get(name, ()), stream)
+                parts[name], dlq = ev.split_valid(stamped, required.get(name, ()))
                 failures.append(dlq)
+
+            def append(name: str) -> None:
+                append_versions(parts[name].select(*_log_columns(tables[name])), f"{root.rstrip('/')}/{name}", batch_id, partition_by.get(name, ()), stream)
+
+            with ThreadPoolExecutor(writers) as pool:
+                list(pool.map(inheritable_thread_target(batch.sparkSession)(append), parts))
             append_versions(reduce(DataFrame.unionByName, failures), dlq_path, batch_id, stream=stream)
         finally:
             for df in held:
