@@ -285,6 +285,21 @@ def struct_type(catalog: DataFrame, table: str, mode: str = "safe") -> T.StructT
     return T._parse_datatype_string(fields)
 
 
+def stream_tables(catalog: DataFrame, mode: str = "safe") -> tuple[dict[str, dict[str, str]], dict[str, list[str]]]:
+    """Column types and key columns of every table of a catalog, as ``replicate_tables`` takes them (types, required).
+
+    Metadata: one row for each column of the catalog comes to the driver.
+    """
+    rows = refine_types(catalog, mode).select("table_name", "ordinal", "column_name", "spark_type", "key_position").collect()
+    types: dict[str, dict[str, str]] = {}
+    keys: dict[str, list] = {}
+    for r in sorted(rows, key=lambda r: (r["table_name"], r["ordinal"])):
+        types.setdefault(r["table_name"], {})[r["column_name"]] = r["spark_type"]
+        if r["key_position"]:
+            keys.setdefault(r["table_name"], []).append((r["key_position"], r["column_name"]))
+    return types, {t: [c for _, c in sorted(k)] for t, k in keys.items()}
+
+
 def validate_conversion(source: DataFrame, target: DataFrame) -> DataFrame:
     """Per source table: column counts, whether the key arrived, share of text columns.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.fixtures import load
 from tidelog.model import MESSAGE_SCHEMA, ORDER_TYPES
 from tidelog.operators import events as ev
+from tidelog.operators import schema as sc
 from tidelog.operators import state as st
 from tidelog.plans.queries_events import messages, typed_rows
 from tidelog.plans.queries_state import _LATEST_ORDERS, _SHOW, order_log, show_order
@@ -15,6 +16,7 @@ from tidelog.registry import query
 from tidelog.session import work_dir
 from tidelog.sources import read, write
 from tidelog.sources import snapshot as snap
+from tidelog.sources.cursors import Cursors, sync_tables
 from tidelog.sources.folding import FoldingLog, LocatedTable, folding_sink
 from tidelog.streaming import jobs
 from tidelog.streaming.intervals import TakenPositions, once
@@ -212,9 +214,7 @@ def table_messages(spark: SparkSession, sf_dir: str, name: str, key: str) -> Dat
     )
 
 
-@query(
-    "a06_replicate_tables",
-    """
+_REPLICATED = """
     SELECT 'customer' AS sink, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS key_sum, max(c_name) AS last_name, CAST(sum(c_nationkey) AS BIGINT) AS place_sum
     FROM customer WHERE c_custkey % 11 <> 0
     UNION ALL SELECT 'supplier', count(*), CAST(sum(s_suppkey) AS BIGINT), max(s_name), CAST(sum(s_nationkey) AS BIGINT) FROM supplier WHERE s_suppkey % 11 <> 0
@@ -222,23 +222,47 @@ def table_messages(spark: SparkSession, sf_dir: str, name: str, key: str) -> Dat
     UNION ALL SELECT 'failed ' || topic, count(*), CAST(sum(k) AS BIGINT), NULL, NULL FROM (
       SELECT 'mysql.shop.customer' AS topic, c_custkey AS k FROM customer WHERE c_custkey % 11 = 0
       UNION ALL SELECT 'mysql.shop.supplier', s_suppkey FROM supplier WHERE s_suppkey % 11 = 0
-      UNION ALL SELECT 'mysql.shop.region', r_regionkey FROM region) f GROUP BY topic""",
+      UNION ALL SELECT 'mysql.shop.region', r_regionkey FROM region) f GROUP BY topic"""
+
+
+@query(
+    "a06_replicate_tables",
+    _REPLICATED,
 )
 def replicate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four topics in one stream: three tables with columns of their own, and one that nothing takes."""
+    return replicated(spark, sf_dir, TABLE_TYPES, {n: [k] for n, k in TABLE_KEYS.items()})
+
+
+_CATALOG = [
+    ("customer", 1, "c_custkey", "bigint NOT NULL", 1), ("customer", 2, "c_name", "varchar(25) DEFAULT NULL", 0), ("customer", 3, "c_nationkey", "int DEFAULT NULL", 0),
+    ("supplier", 1, "s_suppkey", "bigint NOT NULL", 1), ("supplier", 2, "s_name", "varchar(25) DEFAULT NULL", 0), ("supplier", 3, "s_nationkey", "int DEFAULT NULL", 0),
+    ("nation", 1, "n_nationkey", "int NOT NULL", 1), ("nation", 2, "n_name", "char(25) DEFAULT NULL", 0), ("nation", 3, "n_regionkey", "int DEFAULT NULL", 0),
+]
+
+
+@query("d10_catalog_stream", _REPLICATED)
+def catalog_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same stream with the types and keys that the source's column catalog converts to."""
+    catalog = spark.createDataFrame(_CATALOG, "table_name string, ordinal int, column_name string, column_def string, key_position int")
+    return replicated(spark, sf_dir, *sc.stream_tables(catalog))
+
+
+TABLE_KEYS = {"customer": "c_custkey", "supplier": "s_suppkey", "nation": "n_nationkey"}
+
+
+def replicated(spark: SparkSession, sf_dir: str, types: dict, required: dict) -> DataFrame:
+    """Counts and sums of each table that the stream wrote, and of what it could not take."""
     topic, root, dlq = work_dir(spark, "topics"), work_dir(spark, "tables"), work_dir(spark, "dead-letters")
-    keys = {"customer": "c_custkey", "supplier": "s_suppkey", "nation": "n_nationkey"}
-    for name, key in (keys | {"region": "r_regionkey"}).items():
+    for name, key in (TABLE_KEYS | {"region": "r_regionkey"}).items():
         table_messages(spark, sf_dir, name, key).write.mode("append").json(topic)
     stream = read.read_changes(spark, PATTERN, path=topic)
-    jobs.replicate_tables(
-        stream, TABLE_TYPES, root, dlq, work_dir(spark, "checkpoint"), required={n: [k] for n, k in keys.items()}, available_now=True
-    ).awaitTermination()
+    jobs.replicate_tables(stream, types, root, dlq, work_dir(spark, "checkpoint"), required=required, available_now=True).awaitTermination()
     out = written(spark, dlq).groupBy(F.concat(F.lit("failed "), "topic").alias("sink")).agg(
         F.count("*").alias("n"), F.sum("off").alias("key_sum"), F.lit(None).cast("string").alias("last_name"), F.lit(None).cast("bigint").alias("place_sum")
     )
-    for name, types in TABLE_TYPES.items():
-        key, label, place = types
+    for name, columns in TABLE_TYPES.items():
+        key, label, place = columns
         out = out.unionByName(
             written(spark, f"{root}/{name}").agg(
                 F.lit(name).alias("sink"), F.count("*").alias("n"), F.sum(key).cast("bigint").alias("key_sum"),
@@ -389,6 +413,35 @@ def read_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "a13_stored_cursors",
+    """
+    SELECT 'events' AS table_name, 2 AS rounds, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS key_sum, CAST(max(ts) AS VARCHAR) AS mark FROM events
+    UNION ALL SELECT 'orders', 2, count(*), CAST(sum(o_orderkey) AS BIGINT), CAST(max(o_orderdate) AS VARCHAR) FROM orders
+    UNION ALL SELECT 'customer', 1, count(*), CAST(sum(c_custkey) AS BIGINT), CAST(max(c_custkey) AS VARCHAR) FROM customer""",
+)
+def stored_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables in three rounds: the first finds half of two of them, the second the rest, the third nothing."""
+    events, orders, customer = (load(spark, sf_dir, t) for t in ("events", "orders", "customer"))
+    store, root = Cursors(spark, work_dir(spark, "cursors")), work_dir(spark, "synced")
+    half = {
+        "events": (events.where("ts < TIMESTAMP_NTZ '2024-01-15 00:00:00'"), "ts"),
+        "orders": (orders.where("o_orderdate < TIMESTAMP_NTZ '1998-01-01 00:00:00'"), "o_orderdate"),
+        "customer": (customer, "c_custkey"),
+    }
+    whole = {"events": (events, "ts"), "orders": (orders, "o_orderdate"), "customer": (customer, "c_custkey")}
+    for tables in (half, whole, whole):
+        rounds = sync_tables(tables, root, store)
+    out = None
+    for name, key in (("events", "event_id"), ("orders", "o_orderkey"), ("customer", "c_custkey")):
+        one = written(spark, f"{root}/{name}").agg(
+            F.lit(name).alias("table_name"), F.lit(rounds[name]).alias("rounds"), F.count("*").alias("n"), F.sum(key).cast("bigint").alias("key_sum"),
+            F.lit(store.get(name)["mark"]).alias("mark"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(
     "a14_append_above_max",
     f"""
