@@ -284,6 +284,17 @@ def test_changed_paragraphs(spark):
     assert [tuple(r) for r in fingerprints.changed_paragraphs(tree(lines), tree(other)).collect()] == [(1, [11, 30])]
 
 
+def test_edits_are_aligned_by_content(spark):
+    lines = [f"line {k}" for k in range(40)]
+    cases = {
+        1: (lines, ["new first", *lines]), 2: (lines, lines[:17] + lines[18:]), 3: (lines, lines[:20] + ["changed"] + lines[21:]), 4: (lines, lines),
+        5: (lines, [lines[-1], *lines[:-1]]), 6: (["a", "b", "a"], ["a", "a", "a", "b"]), 7: (["x"], [""]), 8: (lines, [*lines, "last"]), 9: (lines[:16], lines[:16] + ["p"] * 9),
+    }
+    frame = lambda side: spark.createDataFrame([(k, "\n".join(v[side])) for k, v in cases.items()], "doc_id int, text string")
+    got = {r.doc_id: (r.added, r.removed) for r in fingerprints.edits(fingerprints.merkle_tree(frame(0)), fingerprints.merkle_tree(frame(1))).collect()}
+    assert got == {1: ([0], []), 2: ([], [17]), 3: ([20], [20]), 5: ([], []), 6: ([2], []), 7: ([0], [0]), 8: ([40], []), 9: (list(range(16, 25)), [])}
+
+
 def test_token_files(docs, rows, none):
     from tokenizers import Tokenizer
 

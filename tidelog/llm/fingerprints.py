@@ -88,6 +88,27 @@ def changed_paragraphs(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def edits(before: DataFrame, after: DataFrame) -> DataFrame:
+    """doc_id, added and removed: numbers (from 0) of paragraphs that only the new and only the old text holds.
+
+    Paragraphs are aligned by hash and by how often it has come before, not by number, so one paragraph put in front of
+    others is one addition, and a paragraph that only moved is none. Documents whose roots are equal, and leading
+    sections that are, are not looked into. Trees come from ``merkle_tree``; ids are looked up once on either side.
+    """
+    old = before.select("doc_id", *(F.col(c).alias(f"old_{c}") for c in ("root", "sections", "paragraphs")))
+    pair = after.join(old, "doc_id").where(F.col("root") != F.col("old_root"))
+    shorter = F.least(F.size("sections"), F.size("old_sections"))
+    differs = F.filter(F.sequence(F.lit(0), shorter), lambda i: ~F.get(F.col("sections"), i).eqNullSafe(F.get(F.col("old_sections"), i)))
+    skipped = F.coalesce(F.get(differs, F.lit(0)), shorter) * SECTION  # paragraphs of equal leading sections
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("hashes")) for side, c in ((0, "old_paragraphs"), (1, "paragraphs"))])
+    rest = pair.select("doc_id", skipped.alias("skipped"), F.inline(sides))
+    rows = rest.select("doc_id", "skipped", "side", F.posexplode("hashes").alias("place", "h")).where("place >= skipped")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "side", "h").orderBy("place"))
+    single = rows.withColumn("nth", nth).groupBy("doc_id", "h", "nth").agg(F.min("side").alias("low"), F.max("side").alias("high"), F.min("place").alias("place"))
+    only = lambda side: F.array_sort(F.collect_list(F.when((F.col("low") == side) & (F.col("high") == side), F.col("place"))))
+    return single.groupBy("doc_id").agg(only(1).alias("added"), only(0).alias("removed"))
+
+
 def successors(ids: DataFrame) -> DataFrame:
     """doc_id and next_id over distinct ids: ranges sorted in parallel, joined at their edges."""
     ranked = staged(
