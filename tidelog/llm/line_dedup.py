@@ -144,8 +144,10 @@ def _merge(one: DataFrame, two: DataFrame) -> DataFrame:
 def _batches(held: DataFrame, batches: int) -> list[Column]:
     """Conditions on doc_id for batches of like size, of ids of any type that sorts."""
     ids = held.select("doc_id").distinct().repartitionByRange(batches, "doc_id")
-    tops = ids.groupBy(F.spark_partition_id().alias("part")).agg(F.max("doc_id").alias("top")).collect()
-    edges = [None, *sorted(r["top"] for r in tops)[:-1], None]
+    tops = sorted(r["top"] for r in ids.groupBy(F.spark_partition_id().alias("part")).agg(F.max("doc_id").alias("top")).collect())
+    # As many batches as asked for, however many ranges Spark has made.
+    cuts = [tops[len(tops) * k // batches - 1] for k in range(1, batches) if len(tops) * k // batches]
+    edges = [None, *sorted(set(cuts) - {tops[-1]} if tops else ()), None]
     out = []
     for low, high in zip(edges, edges[1:]):
         above = F.lit(True) if low is None else F.col("doc_id") > F.lit(low)
