@@ -49,9 +49,11 @@ def typed_as_of(messages: DataFrame, history: DataFrame, table: str, position: C
     if not known:
         raise ValueError(f"no version of {table} is known")
     last = known[-1][1]
-    placed = messages.withColumns({"table_name": F.lit(table), "_position": position if position is not None else message_position()})
-    tagged = as_of(placed, catalog, "_position").drop("columns", "_position", "table_name")
-    tagged = tagged.withColumn("since", F.coalesce("since", F.lit(known[0][0])))
+    # One table's versions are a few thresholds: a join on nothing but a range would be a nested loop.
+    place, valid = position if position is not None else message_position(), F.lit(known[0][0])
+    for since, _ in known[1:]:
+        valid = F.when(place >= F.lit(since), F.lit(since)).otherwise(valid)
+    tagged = messages.withColumn("since", valid)
     out = None
     for since, types in known:
         rows = ev.normalise_values(ev.unwrap(ev.parse_envelope(tagged.where(F.col("since") == since), types)), types)
