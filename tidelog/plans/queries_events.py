@@ -11,6 +11,7 @@ from tidelog.model import ORDER_TYPES
 from tidelog.operators import events as ev
 from tidelog.operators import history as hs
 from tidelog.registry import query
+from tidelog.session import staged
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,11 +92,16 @@ def unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rewrite_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = ev.parse_envelope(ev.handle_tombstones(messages(spark, sf_dir)), ORDER_TYPES)
     rows = ev.rewrite_deletes(ev.unwrap(parsed))
-    return rows.groupBy("__op", "__deleted").agg(
+    sums = rows.groupBy("__op", "__deleted").agg(
         F.count("*").alias("n"),
-        F.sum("__source_ts_ms").alias("ts_sum"),
+        F.sum(F.col("__source_ts_ms").cast("decimal(19,0)")).alias("ts_sum"),
         F.count_distinct("o_orderkey").alias("n_keys"),
     )
+    # Five million times of an epoch in ms sum up to more than 64 bits hold. A bigint while all sums fit, else a decimal.
+    sums = staged(sums, "rewrite-deletes")
+    short = F.col("ts_sum").try_cast("bigint")
+    fit = sums.where(F.col("ts_sum").isNotNull() & short.isNull()).isEmpty()
+    return sums.withColumn("ts_sum", short) if fit else sums
 
 
 @query(
