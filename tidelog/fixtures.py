@@ -10,7 +10,7 @@ not from a union of scans.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -409,6 +409,11 @@ def access_policy(d: Dialect) -> str:
 
 # --- composition -------------------------------------------------------------------
 
+#: A part becomes sixteen columns or a whole table definition: a file of parts is small to read, but long to work on,
+#: and the row group that one task reads grows with the table.
+PART_FIXTURES = {"ddl_columns", "ddl_texts"}
+PARTS_PER_TASK = 20_000
+
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 
@@ -424,14 +429,18 @@ def _needed(sql: str, d: Dialect, seen: list[str]) -> list[str]:
     return seen
 
 
-def compose(sql: str, dialect: Dialect, sf_dir: str | None = None) -> str:
-    """``sql`` with the fixtures it names as CTEs; base tables too when ``sf_dir`` is given."""
+def compose(sql: str, dialect: Dialect, sf_dir: str | None = None, tasks: Mapping[str, int] | None = None) -> str:
+    """``sql`` with the fixtures it names as CTEs; base tables too when ``sf_dir`` is given.
+
+    ``tasks`` names base tables whose rows are dealt to so many tasks after reading.
+    """
     ctes = []
     for name in _needed(sql, dialect, []):
         if name in FIXTURES:
             ctes.append(f"{name} AS ({FIXTURES[name](dialect)})")
         elif sf_dir is not None:
-            ctes.append(f"{name} AS (SELECT * FROM parquet.`{sf_dir}/{name}.parquet`)")
+            hint = f"/*+ REPARTITION({tasks[name]}) */ " if tasks and name in tasks else ""
+            ctes.append(f"{name} AS (SELECT {hint}* FROM parquet.`{sf_dir}/{name}.parquet`)")
     if not ctes:
         return sql
     head = ",\n".join(ctes)
@@ -441,8 +450,21 @@ def compose(sql: str, dialect: Dialect, sf_dir: str | None = None) -> str:
     return f"WITH {head}\n{body}"
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, name: str, tasks: Mapping[str, int] | None = None) -> DataFrame:
     """A fixture or driver table as a DataFrame."""
     if name in BASE_TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(compose(f"SELECT * FROM {name}", SPARK, sf_dir))
+    return run(spark, f"SELECT * FROM {name}", sf_dir, tasks)
+
+
+def run(spark: SparkSession, sql: str, sf_dir: str, tasks: Mapping[str, int] | None = None) -> DataFrame:
+    """A query over fixtures and driver tables. Where it names the columns of the parts' tables, parts are dealt to tasks."""
+    if tasks is None and PART_FIXTURES & set(_needed(sql, SPARK, [])) and (dealt := part_tasks(spark, sf_dir)):
+        tasks = {"part": dealt}
+    return spark.sql(compose(sql, SPARK, sf_dir, tasks))
+
+
+def part_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """The tasks that parts are dealt to; None where one task has few enough."""
+    parts = load(spark, sf_dir, "part").count()
+    return -(-parts // PARTS_PER_TASK) if parts > PARTS_PER_TASK else None
