@@ -34,3 +34,8 @@ def test_the_parts_of_one_file_become_columns_in_many_tasks(spark, parts):
 def test_parse_type_deals_the_parts(spark, parts, monkeypatch):
     found, times, plain = dealt(spark, parts, monkeypatch, "d02_parse_type")
     assert times == 1 and found == plain and len(found) > 1234 * 16
+
+
+def test_refine_types_deals_the_parts(spark, parts, monkeypatch):
+    found, times, plain = dealt(spark, parts, monkeypatch, "d05_refine_types_reference")
+    assert times == 1 and found == plain and len(found) > 1234 * 16
