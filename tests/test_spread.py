@@ -39,3 +39,8 @@ def test_parse_type_deals_the_parts(spark, parts, monkeypatch):
 def test_refine_types_deals_the_parts(spark, parts, monkeypatch):
     found, times, plain = dealt(spark, parts, monkeypatch, "d05_refine_types_reference")
     assert times == 1 and found == plain and len(found) > 1234 * 16
+
+
+def test_target_schema_deals_the_parts_for_columns_and_for_partitions(spark, parts, monkeypatch):
+    found, times, plain = dealt(spark, parts, monkeypatch, "d10_target_schema")
+    assert times == 2 and found == plain and len(found) == 1234
