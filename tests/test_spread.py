@@ -44,3 +44,13 @@ def test_refine_types_deals_the_parts(spark, parts, monkeypatch):
 def test_target_schema_deals_the_parts_for_columns_and_for_partitions(spark, parts, monkeypatch):
     found, times, plain = dealt(spark, parts, monkeypatch, "d10_target_schema")
     assert times == 2 and found == plain and len(found) == 1234
+
+
+def test_describe_tables_deals_the_parts_for_both_schemas_and_the_counts(spark, parts, monkeypatch):
+    found, times, plain = dealt(spark, parts, monkeypatch, "d16_describe_tables")
+    assert times == 3 and found == plain and len(found) == 1234
+
+
+def test_describe_tables_works_in_as_many_parts_as_asked_for(spark, parts):
+    found = registry.QUERIES["d16_describe_tables"](spark, parts)
+    assert len(rows_by_task(found)) == 13

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.fixtures import load
+from tidelog.fixtures import load, part_tasks, run
 from tidelog.operators import schema as sc
 from tidelog.operators import type_rules as rules
 from tidelog.registry import query
@@ -323,10 +323,8 @@ _ROWS_OF_TABLES = """
                FROM target_columns GROUP BY table_name) t ON t.table_name = r.table_name""",
 )
 def describe_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelog.fixtures import SPARK, compose
-
-    counts = spark.sql(compose(_ROWS_OF_TABLES, SPARK, sf_dir))
-    return sc.describe_tables(source_catalog(spark, sf_dir), target_catalog(spark, sf_dir), counts)
+    counts = run(spark, _ROWS_OF_TABLES, sf_dir)
+    return sc.describe_tables(source_catalog(spark, sf_dir), target_catalog(spark, sf_dir), counts, part_tasks(spark, sf_dir))
 
 
 @query(
