@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from tidelog.registry import query
 from tidelog.session import staged
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "envelopes").drop("part_kind")
+def messages(spark: SparkSession, sf_dir: str, tasks: Mapping[str, int] | None = None) -> DataFrame:
+    return load(spark, sf_dir, "envelopes", tasks).drop("part_kind")
 
 
 def typed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

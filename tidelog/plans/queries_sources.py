@@ -22,13 +22,23 @@ from tidelog.streaming import jobs
 from tidelog.streaming.intervals import TakenPositions, once
 
 FILES = 4
+ORDERS_PER_FILE = 250_000  # about 120 MB of messages
 PATTERN = r"mysql\.shop\..*"
 
 
-def topic_files(spark: SparkSession, sf_dir: str, files: int = FILES) -> str:
-    """The messages as JSON-line files, standing in for a topic."""
+def segments(spark: SparkSession, sf_dir: str) -> int:
+    """How many files hold a ``FILES``th of the topic, so that none takes a task more than ``ORDERS_PER_FILE``."""
+    return max(1, -(-load(spark, sf_dir, "orders").count() // (FILES * ORDERS_PER_FILE)))
+
+
+def topic_files(spark: SparkSession, sf_dir: str) -> str:
+    """The messages as JSON-line files, ``FILES`` times ``segments``, standing in for a topic.
+
+    The orders are dealt to tasks, each of which writes their messages: these are ten times as long as the orders.
+    """
     path = work_dir(spark, "topic")
-    messages(spark, sf_dir).select(*MESSAGE_SCHEMA.names).repartition(files).write.json(path)
+    files = FILES * segments(spark, sf_dir)
+    messages(spark, sf_dir, {"orders": files}).select(*MESSAGE_SCHEMA.names).write.json(path)
     return path
 
 
@@ -307,8 +317,8 @@ def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a08_micro_batches", f"SELECT {FILES} AS n_batches, count(*) AS n_messages FROM envelopes")
 def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One source file per batch: as many batches as files."""
-    stream = read.read_changes(spark, PATTERN, path=topic_files(spark, sf_dir), max_files=1)
+    """One source file per batch, or the segments that stand for it in a large topic: as many batches as ``FILES``."""
+    stream = read.read_changes(spark, PATTERN, path=topic_files(spark, sf_dir), max_files=segments(spark, sf_dir))
     out = work_dir(spark, "batches")
     jobs.append_to(stream, out, work_dir(spark, "checkpoint"), available_now=True).awaitTermination()
     return written(spark, out).agg(
