@@ -17,5 +17,7 @@ def test_files_of_a_topic_stay_of_bounded_size(spark, sf_dir, monkeypatch):
 
 
 def test_many_files_make_the_same_batches(spark, sf_dir, monkeypatch):
+    few = sorted(map(str, registry.QUERIES["a06_append_versions"](spark, sf_dir).collect()))
     monkeypatch.setattr(qs, "ORDERS_PER_FILE", 100)
     assert tuple(registry.QUERIES["a08_micro_batches"](spark, sf_dir).first()) == (4, load(spark, sf_dir, "envelopes").count())
+    assert sorted(map(str, registry.QUERIES["a06_append_versions"](spark, sf_dir).collect())) == few

@@ -187,7 +187,7 @@ _OK_ROWS = "SELECT * FROM order_log WHERE arrival % 97 <> 5 AND arrival % 89 <>
 )
 def append_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole replication stream: topic files to a versioned table and a dead-letter table."""
-    stream = read.read_changes(spark, PATTERN, path=topic_files(spark, sf_dir), max_files=2)
+    stream = read.read_changes(spark, PATTERN, path=topic_files(spark, sf_dir), max_files=2 * segments(spark, sf_dir))
     table, dlq = work_dir(spark, "orders"), work_dir(spark, "dead-letters")
     jobs.replicate(
         stream, ORDER_TYPES, table, dlq, work_dir(spark, "checkpoint"), required=["o_orderkey"], available_now=True
