@@ -7,6 +7,7 @@ A catalog has one row per column: ``table_name, ordinal, column_name, column_def
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,8 +102,9 @@ def map_type(catalog: DataFrame) -> DataFrame:
     )
 
 
-def _named(fragments: Sequence[str]) -> Column:
-    return F.lower("column_name").rlike("|".join(fragments))
+def _named(name: Column, fragments: Sequence[str]) -> Column:
+    """Whether a name holds one of the fragments. They are plain text, and searching for it takes a fraction of a pattern's time."""
+    return reduce(Column.__or__, [name.contains(f) for f in fragments])
 
 
 def refine_types(catalog: DataFrame, mode: str = "safe") -> DataFrame:
@@ -115,12 +117,12 @@ def refine_types(catalog: DataFrame, mode: str = "safe") -> DataFrame:
     if mode not in ("safe", "reference"):
         raise ValueError(f"unknown mode: {mode}")
     mapped = catalog if "mapped_type" in catalog.columns else map_type(catalog)
-    base, args, name = F.col("base_type"), F.col("type_args"), F.lower("column_name")
+    base, args, name = F.col("base_type"), F.col("type_args"), F.col("_name")
     integer = base.isin(*rules.INTEGER_TYPES)
-    counter = _named(rules.COUNTER_NAMES) & (F.lit(True) if mode == "reference" else integer)
-    money = _named(rules.MONEY_NAMES)
+    counter = _named(name, rules.COUNTER_NAMES) & (F.lit(True) if mode == "reference" else integer)
+    money = _named(name, rules.MONEY_NAMES)
     country = name.isin(*rules.COUNTRY_NAMES) & base.isin("CHAR", "VARCHAR") & (args == "(2)")
-    category = _named(rules.CATEGORY_NAMES) & base.isin("VARCHAR", "CHAR", "ENUM", "SET")
+    category = _named(name, rules.CATEGORY_NAMES) & base.isin("VARCHAR", "CHAR", "ENUM", "SET")
     moment = base.isin("DATETIME", "TIMESTAMP")
     coded = args.isin("(36)", "(32)")
     if mode == "safe":
@@ -132,11 +134,11 @@ def refine_types(catalog: DataFrame, mode: str = "safe") -> DataFrame:
         .when(country, "country")
         .when(category, "category")
         .when(moment, "moment")
-        .when(coded & _named(rules.UUID_NAMES), "uuid")
+        .when(coded & _named(name, rules.UUID_NAMES), "uuid")
         .when(coded, "code")
         .otherwise("base")
     )
-    ruled = mapped.withColumn("rule", rule)
+    ruled = mapped.withColumn("_name", F.lower("column_name")).withColumn("rule", rule).drop("_name")
     r = F.col("rule")
     target = (
         F.when(r == "boolean", "Bool")
