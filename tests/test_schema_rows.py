@@ -14,6 +14,22 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_target_schema_makes_lines_below_the_aggregate(spark):
+    rows = [
+        ("t", 10, "note", "text DEFAULT NULL", 0), ("t", 2, "made_date", "datetime NOT NULL", 0), ("t", 1, "ID", "bigint NOT NULL", 1),
+        ("u", None, "a", "int NOT NULL", 0), ("u", 1, "b", "json", 0), (None, 1, "seen_at", "datetime NOT NULL", 0),
+    ]
+    out = sc.target_schema(spark.createDataFrame(rows, CATALOG))
+    aggregate = next(line for line in plan(out).splitlines() if "collect_list" in line)
+    assert "concat" not in aggregate.lower() and "upper" not in aggregate.lower()
+    found = {r["table_name"]: r for r in out.collect()}
+    names = {t: re.findall(r"^  `(\w+)`", r["ddl"] or "", re.M) for t, r in found.items()}
+    meta = ["_version", "_is_deleted", "_extracted_at"]
+    assert names["t"] == ["ID", "made_date", "note", *meta, "p_month"] and found["t"]["partition_column"] == "made_date"
+    assert names["u"] == ["a", "b", *meta]  # no ordinal comes first
+    assert found[None]["n_columns"] == 1 and found[None]["partition_column"] is None and found[None]["ddl"] is None
+
+
 def test_refine_types_looks_for_name_fragments_without_patterns(spark):
     words = [*rules.COUNTER_NAMES, *rules.MONEY_NAMES, *rules.CATEGORY_NAMES, *rules.UUID_NAMES, "plain", "id", "uui d"]
     names = [None, ""] + [n for w in words for n in (w, f"a{w.upper()}b", f"x_{w}", w[:-1])]

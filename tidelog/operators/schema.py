@@ -260,8 +260,10 @@ def target_schema(catalog: DataFrame, mode: str = "safe") -> DataFrame:
         .when(default.isNotNull(), F.concat(F.lit(" NOT NULL DEFAULT "), default))
         .otherwise(F.lit("")),
     )
-    columns = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", line.alias("line")))), lambda s: s["line"])
-    per_table = typed_cols.groupBy("table_name").agg(columns.alias("lines"), F.count("*").alias("n_columns"))
+    # The aggregate would interpret the expression of a line for each row: lines are made below it, in compiled code.
+    lines = typed_cols.select("table_name", F.struct("ordinal", line.alias("line")).alias("column"))
+    columns = F.sort_array(F.collect_list("column"))["line"]
+    per_table = lines.groupBy("table_name").agg(columns.alias("lines"), F.count("*").alias("n_columns"))
     joined = per_table.join(partition_column(catalog), "table_name", "left")
     meta = F.array(
         F.lit("  `_version` BIGINT NOT NULL DEFAULT 0"),
